@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, embed_dedup, langid, lengths, merkle, packing, pii, simhash, suffix
+from logloom.llm import bpe, embed_dedup, katz, langid, lengths, merkle, packing, pii, simhash, suffix
 from logloom.llm.common import documents
 from logloom.ship import ship
 
@@ -53,6 +53,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score(documents(spark, sf_dir), held)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.token_lengths(documents(spark, sf_dir), JSON_50K, RANKS_50K))
 
