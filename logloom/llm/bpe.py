@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's memo; it starts anew when full, so its memory is bounded.
-MEMO = 200_000
+MEMO = 400_000
+#: Stands for no byte.
+SEPARATOR = "\x01"
 #: Pieces longer than this are merged one by one, outside the library and the memo.
 LONG = 96
 
@@ -85,13 +87,21 @@ class ByteBPE:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from ahocorasick import Automaton
+        from tokenizers import Tokenizer, pre_tokenizers
         from tokenizers.models import BPE
 
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        #: A piece that holds a block twice in a row may merge one token in two overlapping ways.
-        self.twice = regex.compile(rb"(.+?)\1", regex.DOTALL).search
+        # where a token can be made of x + y and of y + z in x + y + z, the library's merges have an
+        # order of their own and the ranks don't; pieces that hold such a string are merged exactly
+        self.overlaps = Automaton()
+        for token in self.ranks:
+            for k in range(1, len(token)):
+                x, y, z = token[:k], token[k:], token[len(token) - k :]
+                if token.startswith(y) and x in self.ranks and y in self.ranks and z in self.ranks:
+                    self.overlaps.add_word((token + z).decode("latin-1"), True)
+        self.overlaps.make_automaton()
         characters = byte_characters()
         self.table = {b: c for b, c in enumerate(characters)}
         write = lambda token: "".join(map(characters.__getitem__, token))
@@ -101,7 +111,9 @@ class ByteBPE:
             for k in range(1, len(token))
             if token[:k] in self.ranks and token[k:] in self.ranks
         ]
-        self.library = Tokenizer(BPE(vocab={write(t): r for t, r in self.ranks.items()}, merges=merges))
+        self.library = Tokenizer(BPE(vocab={write(t): r for t, r in self.ranks.items()}, merges=merges, cache_capacity=0))
+        # a character that stands for no byte separates pieces, so that one call encodes many
+        self.library.pre_tokenizer = pre_tokenizers.Split(SEPARATOR, "removed")
         back = {c: b for b, c in enumerate(characters)}
         size = max(self.ranks.values()) + 1
         self.bytes_of: list[bytes] = [b""] * size
@@ -109,35 +121,48 @@ class ByteBPE:
             self.bytes_of[i] = bytes(map(back.__getitem__, text))
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
+        """Put the ids of distinct pieces into the memo."""
         ask: list[str] = []
+        written: list[str] = []
+        memo, ranks, has = self.memo, self.ranks, self.overlaps.iter
         for piece in pieces:
             raw = piece.encode()
-            known = self.ranks.get(raw)
+            known = ranks.get(raw)
             if known is not None:
-                self.memo[piece] = (known,)
-            elif self.twice(raw):
-                self.memo[piece] = tuple(merge_exactly(raw, self.ranks))
+                memo[piece] = (known,)
+                continue
+            plain = raw.decode("latin-1")
+            if next(has(plain), None):
+                memo[piece] = tuple(merge_exactly(raw, ranks))
             else:
                 ask.append(piece)
-        if ask:
-            written = [p.encode().decode("latin-1").translate(self.table) for p in ask]
-            for piece, got in zip(ask, self.library.encode_batch(written, add_special_tokens=False)):
-                self.memo[piece] = tuple(got.ids)
+                written.append(plain.translate(self.table))
+        for at in range(0, len(ask), 512):
+            got = self.library.encode(SEPARATOR.join(written[at : at + 512]), add_special_tokens=False)
+            ids, of = got.ids, np.array(got.word_ids, np.int64)
+            cut = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(ids)]
+            for piece, a, b in zip(ask[at : at + 512], cut, cut[1:]):
+                memo[piece] = tuple(ids[a:b])
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        split = [self.find(t) for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(self.memo)
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = set(chain.from_iterable(split))
+        self.learn([p for p in fresh if len(p) <= LONG])
+        known = self.memo.__getitem__
+        out = []
+        for pieces in split:
+            try:
+                out.append(list(chain.from_iterable(map(known, pieces))))
+            except KeyError:
+                out.append(list(chain.from_iterable(known(p) if len(p) <= LONG else merge_exactly(p.encode(), self.ranks) for p in pieces)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        memo = self.memo
-        fresh = [p for p in set(pieces) if p not in memo and len(p) <= LONG]
-        if fresh:
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = [p for p in set(pieces) if len(p) <= LONG]
-            self._learn(fresh)
-        try:
-            return list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        except KeyError:
-            return list(chain.from_iterable(memo[p] if len(p) <= LONG else merge_exactly(p.encode(), self.ranks) for p in pieces))
+        return self.encode_many([text])[0]
 
     def offsets(self, ids: list[int]) -> list[tuple[int, int]]:
         """Code points that each token touches; a token inside a character touches that character."""
@@ -174,7 +199,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [model.encode(t) if t else [] for t in part.column(1).to_pylist()]
+                ids = model.encode_many([t or "" for t in part.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()),
                     pa.array(np.fromiter(chain.from_iterable(ids), np.int32)),
