@@ -3,13 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from logloom.llm import langid, packing, pii, simhash, suffix
+from logloom.llm.common import materialize
+from logloom.llm.queries import JSON_50K, RANKS_50K
+from logloom.ship import ship
+
+#: Bytes from which a string that repeats is cut from all but its first place.
+REPEAT_BYTES = 200
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows and keeps every document in which it finds a language."""
+    ship(spark)
+    return langid.identified(docs, langid.fit(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of SimHash near-duplicates."""
+    ship(spark)
+    return simhash.one_of_each(docs, tau=4, size=4, seed=42)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of repeated strings; documents of which nothing is left go."""
+    ship(spark)
+    return suffix.without_repeats(docs, REPEAT_BYTES)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data."""
+    ship(spark)
+    return pii.without_personal_data(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two length, with their ids."""
+    ship(spark)
+    pieces = packing.pack(docs, JSON_50K, RANKS_50K)
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", repeat_removal), ("pii", personal_data), ("packing", packed)]
+
+#: Models, suffix order and tokenizers are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,50 +122,71 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, ordered[:, -1], ordered[:, -1] - (ordered[:, -2] if like.shape[1] > 1 else 0)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.1, evidence: int = 400) -> DataFrame:
-    """One row per document: id, lang_pred, score (0 to 1), ambiguous. A bit's margin is its mean log
-    ratio times the number of trigrams, ``evidence`` at most, so that long texts don't saturate."""
+def classify(column: pa.Array, m: Model, evidence: int, ambiguous_below: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels, scores and ambiguity of a column of texts."""
+    n = len(column)
+    sums, sizes, lettered = np.zeros((n, len(m.weights))), np.zeros(n), np.zeros(n, bool)
+
+    def add(parts: list[bytes], rows: list[int]) -> None:
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        idx = slots(data)
+        starts = np.minimum(np.cumsum([0, *map(len, parts)])[:-1], len(idx) - 1)
+        for b, w in enumerate(m.weights):
+            # a trigram across two parts has blanks at the seam and counts little
+            np.add.at(sums[:, b], rows, np.add.reduceat(w[idx], starts, dtype=np.float64))
+        np.add.at(sizes, rows, list(map(len, parts)))
+
+    parts, rows, size = [], [], 0
+    for row, text in enumerate(column):
+        text = text.as_py()
+        if not text or not _LETTER.search(text):
+            continue
+        lettered[row] = True
+        data = folded(text)
+        for at in range(0, len(data), 1 << 22):
+            parts.append(data[at : at + (1 << 22)])
+            rows.append(row)
+            size += len(parts[-1])
+            if size >= 1 << 22:
+                add(parts, rows)
+                parts, rows, size = [], [], 0
+    if size > 2:
+        add(parts, rows)
+    margins = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, evidence)[:, None]
+    best, score, gap = decode(margins, m)
+    names = [m.labels[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
+    return names, np.where(lettered, score, 0.0), lettered & (gap < ambiguous_below)
+
+
+#: A bit's margin is its mean log ratio times the number of trigrams, this many at most, so that long
+#: texts don't saturate; a text is ambiguous if its two best labels' scores are closer than the other.
+EVIDENCE, AMBIGUOUS = 400, 0.1
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = EVIDENCE, ambiguous_below: float = AMBIGUOUS) -> DataFrame:
+    """One row per document: id, lang_pred, score (0 to 1), ambiguous."""
     if not len(model.weights):
         return docs.select(F.col(id_col).alias("id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            n = batch.num_rows
-            sums, sizes, lettered = np.zeros((n, len(m.weights))), np.zeros(n), np.zeros(n, bool)
-
-            def add(parts: list[bytes], rows: list[int]) -> None:
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                idx = slots(data)
-                starts = np.cumsum([0, *map(len, parts)])[:-1]
-                for b, w in enumerate(m.weights):
-                    # trigrams across two parts are all blank at the seam and count little
-                    sums[rows, b] += np.add.reduceat(w[idx], np.minimum(starts, len(idx) - 1), dtype=np.float64)
-                sizes[rows] += list(map(len, parts))
-
-            parts, rows, size = [], [], 0
-            for row, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                if not text or not _LETTER.search(text):
-                    continue
-                lettered[row] = True
-                data = folded(text)
-                for at in range(0, len(data), 1 << 22):
-                    parts.append(data[at : at + (1 << 22)])
-                    rows.append(row)
-                    size += len(parts[-1])
-                    if size >= 1 << 22:
-                        add(parts, rows)
-                        parts, rows, size = [], [], 0
-            if size > 2:
-                add(parts, rows)
-            margins = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, evidence)[:, None]
-            best, score, gap = decode(margins, m)
-            names = [m.labels[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(lettered & (gap < ambiguous_below))], ["id", "lang_pred", "score", "ambiguous"]
-            )
+            names, score, ambiguous = classify(batch.column(1), shared.value, evidence, ambiguous_below)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous)], ["id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with all their columns. Ambiguous ones stay."""
+    if not len(model.weights):
+        return docs.where(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _, _ = classify(batch.column(batch.schema.get_field_index(text_col)), shared.value, EVIDENCE, AMBIGUOUS)
+            yield batch.filter(pa.array([x != UNKNOWN for x in names]))
+
+    return docs.mapInArrow(run, docs.schema)

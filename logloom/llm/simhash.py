@@ -181,3 +181,15 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42
     smallest = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = member.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, with all their columns. Rows that
+    repeat this id stay once. Rows without an id stay only where their whole group has none."""
+    groups = materialize(near_duplicates(docs, tau, size, seed, id_col, text_col), "groups")
+    chosen = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    chosen = materialize(chosen.select(F.col(id_col).alias("chosen_id_"), "n"), "chosen")
+    kept = docs.join(chosen.drop("n"), docs[id_col].eqNullSafe(F.col("chosen_id_")), "left_semi")
+    if chosen.where("n > 1 and chosen_id_ is not null").head(1):
+        kept = kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return kept

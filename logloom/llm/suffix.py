@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import byte_slices, materialize, sorted_groups
@@ -232,7 +232,8 @@ def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HO
     """docs: id, h, text binary. Rows id, h, spans array<struct<a,b>> for documents that lose bytes."""
     first = keep == "first"
     found = materialize(candidate_runs(docs, least), "runs")
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a table of its own, so that the join with it can be split where a key is hot
+    keys = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     again = materialize(found.join(keys, "key"), "candidates")
     here = F.struct("id", "start", "h")
     entries = materialize(again.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("at"), F.first("length").alias("length"), F.first("rel").alias("rel")), "entries")
@@ -332,14 +333,21 @@ def _batch(rows: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch
     )
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT, pairs: int = PAIRS) -> DataFrame:
-    """One row per document: id, n_bytes, spans (merged, start and stop in bytes) and kept (binary)."""
+def rows_columns(id_col: str, text: Column) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")]
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT, pairs: int = PAIRS, carry: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, spans (merged, start and stop in bytes) and kept (binary);
+    with ``carry`` also ``row``, a struct of all columns but the text."""
     if least < 2 * GRAM or keep not in ("none", "first"):
         raise ValueError("least must be 32 or more, keep 'none' or 'first'")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(*rows_columns(id_col, text))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if carry else []
+    whole = docs.select(*rows_columns(id_col, text), F.struct(*others).alias("row")) if carry else rows
     spans = repeated_spans(rows, least, keep, hot_entries, pairs).select(F.col("id").alias("id_"), F.col("h").alias("h_"), "spans")
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").select("id", "text", "spans")
+    joined = whole.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").select("id", "text", "spans", *(["row"] if carry else []))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,9 +360,29 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col
                     sizes.append(len(text))
                     merged.append([{"start": a, "stop": b} for a, b in runs_])
                     kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if runs_ else text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"]
-                )
+                spans_ = pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), spans_, pa.array(kept, pa.binary()), *([part.column(3)] if carry else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "spans", "kept", "row"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(strip, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(strip, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (f", row {whole.schema['row'].dataType.simpleString()}" if carry else "")).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with later copies of repeated strings cut from their text, all columns kept.
+
+    Bytes of a character that is cut through go too; ``size_col`` is counted again. Rows of which
+    nothing but white space is left go."""
+    out = remove_repeats(docs, least, "first", id_col, text_col, carry=True)
+    text = F.when(F.size("spans") > 0, valid_text(F.col("kept"))).otherwise(F.col("kept").cast("string")).alias("text_")
+    done = out.select("row", text, (F.size("spans") > 0).alias("cut_")).where("not cut_ or length(trim(both from regexp_replace(text_, '[\\\\s]+', ' '))) > 0")
+    kinds = dict(docs.dtypes)
+    new = {text_col: F.col("text_")}
+    if size_col in docs.columns:
+        new[size_col] = F.when(F.col("cut_"), F.char_length("text_")).otherwise(F.col(f"row.`{size_col}`")).cast(kinds[size_col])
+    return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def valid_text(data: Column) -> Column:
+    """Bytes as text, without bytes that are no whole character."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
