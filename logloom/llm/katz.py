@@ -38,6 +38,8 @@ K = 5
 SMALL, ABSOLUTE = 0.01, 0.5
 #: Bytes of text in a block; a longer text is a block by itself.
 BLOCK = 8 << 20
+#: Bytes of text that are cut into words at once.
+CHUNK = 1 << 20
 #: Slices of a table for each shuffle partition.
 SLICES = 4
 END = np.uint64(2**64 - 1)
@@ -46,12 +48,10 @@ _TABLE = np.random.default_rng(20).integers(0, 2**63, (64, 256), dtype=np.uint64
 
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit tabulation hash of each word (64 bytes at a time, chained)."""
-    size = ends - starts
-    if not len(size):
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    where = np.arange(len(flat)) - np.repeat(np.concatenate([starts, [len(flat)]]), np.diff(np.concatenate([starts, [len(flat)], [len(flat)]])))[: len(flat)] if starts[0] == 0 else None
-    if where is None:
-        where = np.arange(len(flat)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(flat)]])))
+    begin = np.concatenate([[0], starts]).astype(np.int32)
+    where = np.arange(len(flat), dtype=np.int32) - np.repeat(begin, np.diff(np.append(begin, len(flat))))
     value = _TABLE[where & 63, flat]
     long = where >= 64
     if long.any():
@@ -157,19 +157,33 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
 
 
 def tokens(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a block: the hash of every token, ends included, and the document that it is in."""
+    """Of a block: the hash of every token, ends included, and the document that it is in. Texts are
+    read about CHUNK bytes at a time, as what is kept of a byte meanwhile is many times its size."""
     text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(sizes):
+        b = max(int(np.searchsorted(at, at[a] + CHUNK, "right")) - 1, a + 1)
+        parts.append(_tokens(text[at[a] : at[b]], sizes[a:b], a))
+        a = b
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _tokens(text: np.ndarray, sizes: np.ndarray, first_doc: int) -> tuple[np.ndarray, np.ndarray]:
     # a blank after each text, so that no word crosses texts
     ends = np.cumsum(sizes + 1)
     spaced = np.full(len(text) + len(sizes), 0x20, np.uint8)
-    spaced[np.arange(len(text)) + np.repeat(np.arange(len(sizes)), sizes)] = text
+    last = np.zeros(len(spaced), bool)
+    last[ends - 1] = True
+    spaced[~last] = text
     blank = (spaced == 0x20) | ((spaced >= 0x09) & (spaced <= 0x0D))
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     flat, starts, stops = words_joined(spaced)
     words = np.append(word_hashes(flat, starts, stops), np.full(len(sizes), END))
-    doc = np.append(np.searchsorted(ends, first, "right"), np.arange(len(sizes)))
+    doc = np.append(np.searchsorted(ends, first, "right"), np.arange(len(sizes))).astype(np.int32)
     order = np.argsort(doc, kind="stable")
-    return words[order], doc[order]
+    return words[order], doc[order] + np.int32(first_doc)
 
 
 def _slices(keys: np.ndarray, n: int) -> np.ndarray:
@@ -241,6 +255,7 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                 word, doc = tokens(data.as_py(), np.array(sizes.values))
                 trains = ~np.array(held.values)
                 keys, w = np.unique(word, return_inverse=True)
+                del word
                 answers = sorted(counts.as_py(), key=lambda x: x["r"])
                 number = np.concatenate([unpacked_sorted(x["numbers"], "<i8") + offsets[x["r"]] for x in answers])
                 train = np.concatenate([unpacked(x["train"], "<i8") for x in answers])
@@ -259,12 +274,15 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                 if 2 * b2 + b1 > 64:
                     raise ValueError("a block is too large")
                 code, n = np.unique((h.astype(np.uint64) << np.uint64(b1 + b2)) | (w.astype(np.uint64) << np.uint64(b1)) | doc.astype(np.uint64), return_counts=True)
-                d, ww, hh = (code & np.uint64((1 << b1) - 1)).astype(np.int64), ((code >> np.uint64(b1)) & np.uint64((1 << b2) - 1)).astype(np.int64), (code >> np.uint64(b1 + b2)).astype(np.int64)
-                n = np.where(trains[d], n, -n)
+                del h, w, c, doc
+                d, ww, hh = (code & np.uint64((1 << b1) - 1)).astype(np.int32), ((code >> np.uint64(b1)) & np.uint64((1 << b2) - 1)).astype(np.int32), (code >> np.uint64(b1 + b2)).astype(np.int32)
+                del code
+                n = np.where(trains[d], n, -n).astype("<i4")
                 wide = every[hh] >= hot
-                mixed = ((number[hh].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ number[ww].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                r = np.where(wide, n_slices + ((mixed >> np.uint64(33)) % np.uint64(n_slices)).astype(np.int64), slice_of[hh])
-                order = np.argsort(r, kind="stable")
+                r = slice_of[hh].astype(np.int32)
+                mixed = ((number[hh[wide]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ number[ww[wide]].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                r[wide] = n_slices + ((mixed >> np.uint64(33)) % np.uint64(n_slices)).astype(np.int32)
+                order = np.argsort(r, kind="stable").astype(np.int32)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(r[order])) + 1, [len(order)]])
                 for x, y in zip(cut, cut[1:]):
                     o = order[x:y]
@@ -278,7 +296,7 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                             "w": packed(number[ww[o]].astype("<u4" if offsets[-1] < 1 << 32 else "<u8")),
                             "share": packed(train[ww[o]].astype("<u4" if uni.tokens < 1 << 32 else "<u8")),
                             "doc": packed(d[o].astype("<u4")),
-                            "n": packed(n[o].astype("<i4")),
+                            "n": packed(n[o]),
                             "context": packed(train[hh[o]].astype("<i8")) if r[o[0]] >= n_slices else None,
                         }
                     )

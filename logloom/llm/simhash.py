@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import byte_slices, connected_components, materialize, sorted_groups
+from logloom.llm.common import byte_slices, connected_components, materialize, partitions, sorted_groups
 
 #: Hashes that are counted at once.
 CHUNK = 1 << 18
@@ -159,7 +159,9 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 20_000) -> DataFrame:
                 pairs = np.array(out, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    spread_out = distinct.select("fp").mapInArrow(spread, "key long, fp long, flipped boolean").withColumn("whole", (~F.col("flipped")).cast("long")).drop("flipped")
+    # each row becomes many, so rows that fit one task are dealt out first
+    dealt = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
+    spread_out = dealt.mapInArrow(spread, "key long, fp long, flipped boolean").withColumn("whole", (~F.col("flipped")).cast("long")).drop("flipped")
     sizes = spread_out.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = materialize(sizes.select("key", F.ceil(F.col("n") / (block // 2)).alias("blocks")), "hotkeys")
     rows = spread_out.withColumn("g", F.col("key"))
