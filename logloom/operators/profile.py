@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from logloom.config import PARAM, TemplaterConfig
@@ -48,7 +49,7 @@ def static_positions(tokens: DataFrame) -> DataFrame:
     return spots.groupBy(*KEY).agg(F.when(F.min("low") == F.max("high"), static).alias("static"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _pair(a: pd.Series, b: pd.Series) -> pd.Series:
     # rows of other branches may pass through before their filter, hence the nulls
     return pd.Series([None if x is None or y is None else pair_template(list(x), list(y)) for x, y in zip(a, b)], dtype=object)
