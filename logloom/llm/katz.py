@@ -346,12 +346,13 @@ def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tab
             yield int(rs[a]), table.slice(a, b - a)
 
 
-SCORED = "blk long, doc binary, score binary, n_docs long, n_tokens binary, n_known binary, base binary, h long, at int, n long, freed double, seen double"
+SCORED = "blk long, doc binary, score binary, late_doc binary, late_h binary, late_n binary, n_docs long, n_tokens binary, n_known binary, base binary, h long, freed double, seen double"
 
 
 def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: int) -> DataFrame:
-    """Sums of log10 probabilities for each block; for contexts dealt out also, per slice, what their
-    discounts freed (blk null) and, per document, how many tokens wait for their alpha (h not null)."""
+    """One row for each task and block: sums of log10 probabilities by document and, for contexts dealt
+    out, the tokens that wait for their alpha. One row for each task and such context (blk null): what
+    the task's pairs leave of its mass. There are fewer such contexts than one over their share."""
     wide = (bool(offsets[-1] >= 1 << 32), uni.tokens >= 1 << 32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,6 +367,8 @@ def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: i
         kinds = [{"long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in SCORED.split(", ")]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array([q.get(c) for q in rows], k) for c, k in zip(names, kinds)], names)
         sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+        mass: dict[int, np.ndarray] = {}
         for r, part in _each_slice(batches):
             if r >= 2 * n_slices:
                 yield make([{c: part.column(c)[i].as_py() for c in ("blk", "n_docs", "n_tokens", "n_known", "base")} for i in range(part.num_rows)])
@@ -396,19 +399,19 @@ def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: i
                 docs_, back = np.unique(p["doc"][mine], return_inverse=True)
                 sums.setdefault(int(blks[x]), []).append((docs_, np.bincount(back, value[mine])))
             if r >= n_slices:
-                yield make([{"h": int(h), "freed": float(u), "seen": float(s), "n": int(t)} for h, u, s, t in zip(contexts, used, seen, total)])
+                for h, u, s in zip(contexts.tolist(), used, seen):
+                    mass[h] = mass.get(h, 0) + np.array([u, s])
                 late = np.flatnonzero((c[which] == 0) & (total[of][which] > 0))
-                if len(late):
-                    key = np.stack([p["at"][late], p["doc"][late], p["h"][late]])
-                    some, back = np.unique(key, axis=1, return_inverse=True)
-                    n = np.bincount(back.ravel(), times[late]).astype(np.int64)
-                    empty = [pa.nulls(len(n), k) for k in kinds]
-                    for c_, v in (("blk", blks[some[0]]), ("at", some[1].astype(np.int32)), ("h", some[2]), ("n", n)):
-                        empty[names.index(c_)] = pa.array(v)
-                    yield pa.RecordBatch.from_arrays(empty, names)
+                for x in np.unique(p["at"][late]):
+                    mine = late[p["at"][late] == x]
+                    waiting.setdefault(int(blks[x]), []).append(np.stack([p["doc"][mine], p["h"][mine], times[mine]]))
+        yield make([{"h": h, "freed": float(u), "seen": float(s)} for h, (u, s) in mass.items()])
         for blk, parts in sums.items():
             docs_, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-            yield make([{"blk": blk, "doc": packed_sorted(docs_.astype(np.int64)), "score": packed(np.bincount(back, np.concatenate([y for _, y in parts])))}])
+            row = {"blk": blk, "doc": packed_sorted(docs_.astype(np.int64)), "score": packed(np.bincount(back, np.concatenate([y for _, y in parts])))}
+            if blk in waiting:
+                row |= dict(zip(("late_doc", "late_h", "late_n"), map(packed, np.concatenate(waiting[blk], axis=1).astype(np.int64))))
+            yield make([row])
 
     dealt = sent.repartition("r")
     fields = ", ".join(f"n{k} long" for k in range(K + 1))
@@ -419,25 +422,27 @@ def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: i
 
 def put_together(scored: DataFrame, held: DataFrame) -> DataFrame:
     """Scores and counts of every document from the sums of all slices."""
-    alphas = scored.where("blk is null").groupBy("h").agg((1 - F.sum("freed")).alias("left"), (1 - F.sum("seen")).alias("unseen")).select(F.col("h").alias("h_"), F.log10(F.col("left") / F.col("unseen")).alias("alpha"))
-    late = scored.where("blk is not null and h is not null").join(alphas, F.col("h") == F.col("h_")).groupBy("blk", "at").agg(F.sum(F.col("n") * F.col("alpha")).alias("late"))
-    late = late.groupBy("blk").agg(F.collect_list(F.struct("at", "late")).alias("late"))
-    parts = scored.where("blk is not null and h is null").groupBy("blk").agg(
-        F.collect_list(F.when(F.col("doc").isNotNull(), F.struct("doc", "score"))).alias("sums"),
+    left = scored.where("blk is null").groupBy("h").agg((1 - F.sum("freed")).alias("left"), (1 - F.sum("seen")).alias("unseen"))
+    # at most one over the share of contexts that are dealt out
+    alphas = {r["h"]: np.log10(r["left"] / r["unseen"]) for r in left.collect()}
+    parts = scored.where("blk is not null").groupBy("blk").agg(
+        F.collect_list(F.when(F.col("doc").isNotNull(), F.struct("doc", "score", "late_doc", "late_h", "late_n"))).alias("sums"),
         F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base").alias("base"),
     )
-    rows = held.select("blk", "ids", "held").join(parts, "blk").join(late, "blk", "left").select("ids", "held", "sums", "n_tokens", "n_known", "base", "late")
+    rows = held.select("blk", "ids", "held").join(parts, "blk").select("ids", "held", "sums", "n_tokens", "n_known", "base")
     kind = held.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held_, sums, n_tokens, n_known, base, late_ = (batch.column(k)[i] for k in range(7))
+                ids, held_, sums, n_tokens, n_known, base = (batch.column(k)[i] for k in range(6))
                 score = np.zeros(len(ids))
                 for x in sums.as_py():
                     score[unpacked_sorted(x["doc"], "<i8")] += unpacked(x["score"], "<f8")
-                for x in late_.as_py() or []:
-                    score[x["at"]] += x["late"]
+                    if x["late_doc"] is not None:
+                        h, where = np.unique(unpacked(x["late_h"], "<i8"), return_inverse=True)
+                        alpha = np.array([alphas[k] for k in h.tolist()])[where]
+                        score += np.bincount(unpacked(x["late_doc"], "<i8"), alpha * unpacked(x["late_n"], "<i8"), minlength=len(score))
                 cols = [ids.values, held_.values, *(pa.array(unpacked(x.as_py(), k)) for x, k in ((n_tokens, "<i8"), (n_known, "<i8"), (base, "<f8"))), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -447,7 +452,7 @@ def put_together(scored: DataFrame, held: DataFrame) -> DataFrame:
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", hot_share: float | None = None) -> DataFrame:
     """Trains on documents for which ``held`` isn't true and scores all. One row per document: id,
     held_out, n_tokens, n_known, train_tokens, base_score, score. ``hot_share``: the share of all tokens
-    from which a context is dealt out by pair (default: a quarter of an even slice's)."""
+    from which a context is dealt out by pair (default: that of an even shuffle partition)."""
     n_slices = SLICES * partitions(docs.sparkSession)
     gathered = materialize(blocks(docs, id_col, text_col, held), "blocks")
     counted = materialize(count_words(gathered, n_slices), "words")
@@ -460,7 +465,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     uni = Unigrams(sums[0], sums[1], sums[3:])
     number = gathered.select(F.explode("held").alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("held")).cast("long")).alias("t")).first()
     uni.starts, uni.all_starts = number["t"] or 0, number["n"]
-    hot = max(2, int((hot_share if hot_share is not None else 0.25 / n_slices) * sums[2]))
+    hot = max(2, int((hot_share if hot_share is not None else SLICES / n_slices) * sums[2]))
     answers = counted.where("blk is not null").groupBy("blk").agg(F.collect_list(F.struct("r", "numbers", "train", "every")).alias("counts"))
     joined = gathered.select("blk", "held", "sizes", "data").join(answers, "blk")
     scored = materialize(score_pairs(send_pairs(joined, offsets, uni, n_slices, hot), uni, offsets, n_slices), "scored")
