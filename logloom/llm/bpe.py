@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import trimmed
+
 #: Entries of a worker's memo; it starts anew when full, so its memory is bounded.
 MEMO = 400_000
 #: Stands for no byte.
@@ -207,7 +209,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(map(model.decode_bytes, ids), pa.binary())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, ids array<int>, decoded binary")
 
 
 def decode_column(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -220,4 +222,4 @@ def decode_column(encoded: DataFrame, path: str, id_col: str = "id", ids_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(trimmed(run), f"id {kind}, text string")

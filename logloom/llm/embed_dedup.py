@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import connected_components, materialize, sorted_groups
+from logloom.llm.common import connected_components, materialize, sorted_groups, trimmed
 
 #: A pair at cosine 0.93 agrees in a plane's sign with p = 0.880 and is missed by all tables with
 #: (1 - p ** BITS) ** TABLES = 0.0003. For more rows raise BITS by one per doubling, and TABLES by 1 / p.
@@ -62,7 +62,7 @@ def link_counts(nodes: DataFrame, threshold: float, tables: int, bits: int, bloc
             flat = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), tables).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["node", "sig"])
 
-    signed = materialize(nodes.select("node", "vector").mapInArrow(sign, "node long, sig array<int>").join(nodes, "node"), "signatures")
+    signed = materialize(nodes.select("node", "vector").mapInArrow(trimmed(sign), "node long, sig array<int>").join(nodes, "node"), "signatures")
     light = signed.select("node", "label", F.size("vector").alias("dim"), F.posexplode("sig").alias("t", "key"))
     sizes = light.groupBy("label", "dim", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # only keys that vectors share are worth moving a vector for
@@ -117,7 +117,7 @@ def link_counts(nodes: DataFrame, threshold: float, tables: int, bits: int, bloc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "n", "peer"])
 
-    return spread.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "node long, n long, peer long")
+    return spread.repartition("g").sortWithinPartitions("g").mapInArrow(trimmed(compare), "node long, n long, peer long")
 
 
 def near_duplicates(

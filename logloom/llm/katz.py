@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import byte_slices, materialize, partitions, sorted_groups
+from logloom.llm.common import byte_slices, materialize, partitions, sorted_groups, trimmed
 from logloom.llm.simhash import words_joined
 
 #: Counts up to this one are discounted by Good-Turing.
@@ -153,7 +153,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, f"blk long, ids array<{kind}>, held array<boolean>, sizes array<long>, data binary")
+    return rows.mapInArrow(trimmed(run), f"blk long, ids array<{kind}>, held array<boolean>, sizes array<long>, data binary")
 
 
 def tokens(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +234,8 @@ def count_words(held: DataFrame, n_slices: int) -> DataFrame:
                     ["blk", "r", "numbers", "train", "every", "stats"],
                 )
 
-    asked = held.select("blk", "held", "sizes", "data").mapInArrow(ask, "blk long, r long, keys binary, train binary, every binary")
-    return asked.repartition("r").sortWithinPartitions("r").mapInArrow(answer, "blk long, r long, numbers binary, train binary, every binary, stats array<long>")
+    asked = held.select("blk", "held", "sizes", "data").mapInArrow(trimmed(ask), "blk long, r long, keys binary, train binary, every binary")
+    return asked.repartition("r").sortWithinPartitions("r").mapInArrow(trimmed(answer), "blk long, r long, numbers binary, train binary, every binary, stats array<long>")
 
 
 PAYLOAD = "r long, blk long, h binary, w binary, share binary, doc binary, n binary, context binary, ids binary, n_docs long, n_tokens binary, n_known binary, base binary"
@@ -307,7 +307,7 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                     yield pa.RecordBatch.from_arrays([pa.array([q.get(c) for q in rows], k) for c, k in zip(names, kinds)], names)
 
     uni_starts, uni_all_starts = uni.starts, uni.all_starts
-    return joined.select("blk", "held", "sizes", "data", "counts").mapInArrow(run, PAYLOAD)
+    return joined.select("blk", "held", "sizes", "data", "counts").mapInArrow(trimmed(run), PAYLOAD)
 
 
 def _lengths(keys: np.ndarray, answers: list[dict], n_slices: int) -> list[tuple[int, int]]:
@@ -415,9 +415,9 @@ def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: i
 
     dealt = sent.repartition("r")
     fields = ", ".join(f"n{k} long" for k in range(K + 1))
-    totals = dealt.sortWithinPartitions("r").mapInArrow(count, fields).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(K + 1)))
+    totals = dealt.sortWithinPartitions("r").mapInArrow(trimmed(count), fields).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(K + 1)))
     # one row of totals goes to every task; the pairs' exchange is used for both
-    return dealt.crossJoin(F.broadcast(totals)).sortWithinPartitions("r").mapInArrow(score, SCORED)
+    return dealt.crossJoin(F.broadcast(totals)).sortWithinPartitions("r").mapInArrow(trimmed(score), SCORED)
 
 
 def put_together(scored: DataFrame, held: DataFrame) -> DataFrame:
@@ -446,7 +446,7 @@ def put_together(scored: DataFrame, held: DataFrame) -> DataFrame:
                 cols = [ids.values, held_.values, *(pa.array(unpacked(x.as_py(), k)) for x, k in ((n_tokens, "<i8"), (n_known, "<i8"), (base, "<f8"))), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(trimmed(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", hot_share: float | None = None) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import trimmed
+
 #: Hash space of the trigrams.
 SLOTS = 1 << 16
 #: Languages up to which the code is exhaustive; beyond it columns are drawn and the best kept.
@@ -94,7 +96,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(sums[where])], ["lang", "slot", "n"])
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(trimmed(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = counts.column("lang").to_pylist()
     labels = sorted(set(langs))
     code = codewords(len(labels))
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous)], ["id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -189,4 +191,4 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             names, _, _ = classify(batch.column(batch.schema.get_field_index(text_col)), shared.value, EVIDENCE, AMBIGUOUS)
             yield batch.filter(pa.array([x != UNKNOWN for x in names]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

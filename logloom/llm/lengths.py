@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logloom.llm.common import trimmed
 from logloom.llm.packing import encoder
 
 #: Lengths in a band of the two-level sums.
@@ -32,7 +33,7 @@ def token_lengths(docs: DataFrame, json_path: str, ranks_path: str | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, n_tokens long")
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:

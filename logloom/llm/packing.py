@@ -14,7 +14,7 @@ import base64
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import trimmed
+
 #: Bytes of ids that a worker gathers before it hands a batch on.
 FLUSH = 8 << 20
 #: The two libraries split texts of these characters alike; others go through tokenizers.
@@ -34,11 +36,7 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.json_path, self.fast = json_path, None
         if ranks_path:
             import tiktoken
 
@@ -46,6 +44,14 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.json_path)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not LATIN.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4")
@@ -100,7 +106,7 @@ def pack(
                 yield made(batch.column(0), rows, held)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    pieces = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, start long, length long, ids binary, doc_tokens long")
+    pieces = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"row {kind}, start long, length long, ids binary, doc_tokens long")
     return pieces.select(
         F.col("row").alias(id_col),
         "start",

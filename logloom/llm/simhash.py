@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import byte_slices, connected_components, materialize, partitions, sorted_groups
+from logloom.llm.common import byte_slices, connected_components, materialize, partitions, sorted_groups, trimmed
 
 #: Hashes that are counted at once.
 CHUNK = 1 << 18
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), f"id {kind}, fp long")
 
 
 class Ring:
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 20_000) -> DataFrame:
 
     # each row becomes many, so rows that fit one task are dealt out first
     dealt = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
-    spread_out = dealt.mapInArrow(spread, "key long, fp long, flipped boolean").withColumn("whole", (~F.col("flipped")).cast("long")).drop("flipped")
+    spread_out = dealt.mapInArrow(trimmed(spread), "key long, fp long, flipped boolean").withColumn("whole", (~F.col("flipped")).cast("long")).drop("flipped")
     sizes = spread_out.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = materialize(sizes.select("key", F.ceil(F.col("n") / (block // 2)).alias("blocks")), "hotkeys")
     rows = spread_out.withColumn("g", F.col("key"))
@@ -171,7 +171,7 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 20_000) -> DataFrame:
         other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = spread_out.join(large, "key", "left").withColumn("mine", mine).withColumn("other", other)
         rows = rows.withColumn("g", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))).drop("blocks", "mine", "other")
-    return rows.repartition("g").sortWithinPartitions("g", "key").mapInArrow(join, "a long, b long")
+    return rows.repartition("g").sortWithinPartitions("g", "key").mapInArrow(trimmed(join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import byte_slices, materialize, sorted_groups
+from logloom.llm.common import byte_slices, materialize, sorted_groups, trimmed
 
 #: Bytes of the grams that can be anchors, and of a tile of text.
-GRAM, TILE = 16, 1 << 22
+GRAM, TILE = 16, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -151,7 +151,7 @@ def candidate_runs(docs: DataFrame, least: int) -> DataFrame:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key long, seg long, id {kind}, h long, start long, length int, rel int")
+    return docs.mapInArrow(trimmed(run), f"key long, seg long, id {kind}, h long, start long, length int, rel int")
 
 
 def neighbour_prefixes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HO
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "seg", "low", "high"])
 
-    matched = held.mapInArrow(cut, schema).repartition("g").sortWithinPartitions("g").mapInArrow(match, "key long, seg long, low long, high long")
+    matched = held.mapInArrow(trimmed(cut), schema).repartition("g").sortWithinPartitions("g").mapInArrow(trimmed(match), "key long, seg long, low long, high long")
     matched = materialize(matched, "matches")
     copies = entries.where("n > 1").select("key", "seg", F.col("at").alias("first_at"))
     ran = again.select("key", "seg", "id", "h", "start", (F.col("start") + F.col("rel")).alias("anchor"), (F.col("start") + F.col("length") + (least - 1)).alias("stop"))
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "spans", "kept", "row"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(strip, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (f", row {whole.schema['row'].dataType.simpleString()}" if carry else "")).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(trimmed(strip), f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (f", row {whole.schema['row'].dataType.simpleString()}" if carry else "")).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
