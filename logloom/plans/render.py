@@ -49,7 +49,9 @@ def to_json(groups: DataFrame, pretty: bool = False) -> DataFrame:
 
 def stats_line(lines: Column, templates: Column) -> Column:
     ratio = F.when(templates > 0, lines / templates).otherwise(0.0)
-    return F.format_string("%d lines -> %d templates (%.1fx)", lines, templates, ratio)
+    # format_number rounds the double itself, ties to the even digit; format_string rounds its decimal text
+    shown = F.replace(F.format_number(ratio, 1), F.lit(","), F.lit(""))
+    return F.format_string("%d lines -> %d templates (%sx)", lines, templates, shown)
 
 
 def char_compression(messages: DataFrame, texts: DataFrame) -> DataFrame:
