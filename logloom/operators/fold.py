@@ -15,19 +15,30 @@ class Cluster:
     id: int
     tokens: list[str]
     size: int = 1
+    template: str = ""
 
-    @property
-    def template(self) -> str:
-        return " ".join(self.tokens)
+    def __post_init__(self) -> None:
+        self.template = " ".join(self.tokens)
+
+    def become(self, tokens: list[str]) -> str:
+        """Take a merged template; what changed."""
+        if tokens == self.tokens:
+            return NONE
+        self.tokens, self.template = tokens, " ".join(tokens)
+        return CHANGED
+
+
+def tokens_of(text: str) -> list[str]:
+    """Tokens never hold white space, so a blank joins and splits them."""
+    return text.split(" ") if text else []
 
 
 @dataclass(slots=True)
 class Node:
     children: dict[str, "Node"] = field(default_factory=dict)
     clusters: list[int] = field(default_factory=list)
-    #: Rises when a cluster of this leaf is new or changes; repeats of a line are answered from ``seen``.
+    #: Rises when a cluster of this leaf is new or changes.
     version: int = 0
-    seen: dict[tuple[str, ...], tuple[int, int]] = field(default_factory=dict)
 
 
 def digits_in(token: str) -> bool:
@@ -64,6 +75,9 @@ class Drain:
         self.roots: dict[int, Node] = {}
         self.clusters: OrderedDict[int, Cluster] = OrderedDict()
         self.last_id = 0
+        #: Nodes ever made: while it stands still, every line's way through the tree does.
+        self.made = 0
+        self.seen: dict[str, tuple[Cluster, Node, int, int]] = {}
 
     def _route(self, tokens: list[str]) -> list[str]:
         """First tokens that choose the way; the last token never does."""
@@ -98,7 +112,10 @@ class Drain:
 
     def _place(self, tokens: list[str]) -> Node:
         """Leaf for a new cluster; adds nodes while ``max_children`` allows, else goes to the wildcard's."""
-        node = self.roots.setdefault(len(tokens), Node())
+        node = self.roots.get(len(tokens))
+        if node is None:
+            node = self.roots[len(tokens)] = Node()
+            self.made += 1
         for token in self._route(tokens):
             nxt = node.children.get(token)
             if nxt is None:
@@ -109,23 +126,17 @@ class Drain:
                     key = token if count < self.max_children else self.param
                 else:
                     key = token if count + 1 < self.max_children else self.param
-                nxt = node.children.setdefault(key, Node())
+                nxt = node.children.get(key)
+                if nxt is None:
+                    nxt = node.children[key] = Node()
+                    self.made += 1
             node = nxt
         return node
 
-    def add(self, tokens: list[str]) -> tuple[Cluster, str]:
-        """Ingest one line: its cluster after the update, and what changed."""
-        repeat = tuple(tokens) if self.max_clusters is None else None
-        leaf = self._leaf(tokens)
-        if repeat is not None and leaf is not None and (known := leaf.seen.get(repeat)) and known[1] == leaf.version:
-            cluster = self.clusters[known[0]]
-            cluster.size += 1
-            return cluster, NONE
+    def _ingest(self, tokens: list[str]) -> tuple[Cluster, str, Node]:
         leaf, cluster = self._search(tokens, self.sim_th, False)
         if cluster is not None:
-            new = merged(cluster.tokens, tokens, self.param)
-            update = NONE if new == cluster.tokens else CHANGED
-            cluster.tokens = new
+            update = cluster.become(merged(cluster.tokens, tokens, self.param))
             cluster.size += 1
             if self.max_clusters is not None:
                 self.clusters.move_to_end(cluster.id)
@@ -138,11 +149,25 @@ class Drain:
             leaf = self._place(tokens)
             leaf.clusters = [i for i in leaf.clusters if i in self.clusters]
             leaf.clusters.append(cluster.id)
-        if update != NONE:
-            leaf.version += 1
-            leaf.seen.clear()
-        if repeat is not None and len(leaf.seen) < 10_000:
-            leaf.seen[repeat] = (cluster.id, leaf.version)
+        leaf.version += update != NONE
+        return cluster, update, leaf
+
+    def add(self, tokens: list[str]) -> tuple[Cluster, str]:
+        """Ingest one line: its cluster after the update, and what changed."""
+        return self._ingest(tokens)[:2]
+
+    def add_joined(self, text: str) -> tuple[Cluster, str]:
+        """The same for tokens joined by blanks. A line that comes again while nothing on its way has
+        changed joins the same cluster and changes nothing."""
+        known = self.seen.get(text)
+        if known is not None and known[1].version == known[2] and known[3] == self.made:
+            known[0].size += 1
+            return known[0], NONE
+        cluster, update, leaf = self._ingest(tokens_of(text))
+        if self.max_clusters is None:
+            if len(self.seen) >= 100_000:
+                self.seen.clear()
+            self.seen[text] = (cluster, leaf, leaf.version, self.made)
         return cluster, update
 
     def match(self, tokens: list[str], strategy: str = "never") -> Cluster | None:
@@ -167,32 +192,29 @@ class FullSearch:
     def __init__(self, sim_th: float = 0.4, param: str = PARAM):
         self.sim_th, self.param = sim_th, param
         self.clusters: list[Cluster] = []
-        self.seen: dict[tuple[str, ...], int] = {}
+        #: Lines and their clusters since the last change.
+        self.seen: dict[str, Cluster] = {}
 
-    def add(self, tokens: list[str]) -> tuple[Cluster, str]:
-        known = self.seen.get(key := tuple(tokens))
+    def add_joined(self, text: str) -> tuple[Cluster, str]:
+        known = self.seen.get(text)
         if known is not None:
-            self.clusters[known].size += 1
-            return self.clusters[known], NONE
+            known.size += 1
+            return known, NONE
+        tokens = tokens_of(text)
         best, best_key = None, (-1.0, -1)
-        for i, c in enumerate(self.clusters):
+        for c in self.clusters:
             if len(c.tokens) == len(tokens) and (score := similarity(c.tokens, tokens, False, self.param)) > best_key:
-                best, best_key = i, score
+                best, best_key = c, score
         if best is None or best_key[0] < self.sim_th:
-            self.clusters.append(Cluster(len(self.clusters) + 1, list(tokens)))
+            best, update = Cluster(len(self.clusters) + 1, tokens), CREATED
+            self.clusters.append(best)
+        else:
+            update = best.become(merged(best.tokens, tokens, self.param))
+            best.size += 1
+        if update != NONE:
             self.seen.clear()
-            self.seen[key] = len(self.clusters) - 1
-            return self.clusters[-1], CREATED
-        cluster = self.clusters[best]
-        new = merged(cluster.tokens, tokens, self.param)
-        cluster.size += 1
-        if new == cluster.tokens:
-            self.seen[key] = best
-            return cluster, NONE
-        cluster.tokens = new
-        self.seen.clear()
-        self.seen[key] = best
-        return cluster, CHANGED
+        self.seen[text] = best
+        return best, update
 
 
 class Statistical:

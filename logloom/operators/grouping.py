@@ -114,9 +114,9 @@ def tree_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str) -> DataFrame:
 
     def make() -> Callable:
         drain = Drain(cfg.depth, cfg.sim_th, cfg.max_children)
-        return lambda row: drain.add(row[4])[0].id
+        return lambda row: drain.add_joined(row[4])[0].id
 
-    return _clustered(keyed, ["window_id", "n_tokens", "sub"], ["line_index", "tokens"], make)
+    return _clustered(keyed.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens", "sub"], ["line_index", "tokens"], make)
 
 
 def full_search_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str = "whitespace") -> DataFrame:
@@ -124,9 +124,9 @@ def full_search_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str = "whit
 
     def make() -> Callable:
         search = FullSearch(cfg.sim_th)
-        return lambda row: search.add(row[3])[0].id
+        return lambda row: search.add_joined(row[3])[0].id
 
-    return _clustered(tokens, ["window_id", "n_tokens"], ["line_index", "tokens"], make)
+    return _clustered(tokens.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens"], ["line_index", "tokens"], make)
 
 
 def idf(lines: DataFrame) -> DataFrame:
@@ -180,13 +180,13 @@ def online(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), masked: b
         drain, firsts = Drain(cfg.depth, cfg.sim_th, cfg.max_children, max_clusters, param), {}
 
         def step(row: tuple) -> tuple:
-            cluster, update = drain.add(row[width + 1])
+            cluster, update = drain.add_joined(row[width + 1])
             return row[0], row[width], firsts.setdefault(cluster.id, row[width]), cluster.size, cluster.template, update
 
         return step
 
     schema = f"window_id {kind}, line_index long, first_index long, cluster_size long, template string, update_type string"
-    out = _fold(tokens, keys, ["line_index", "tokens"], make, schema)
+    out = _fold(tokens.withColumn("tokens", F.array_join("tokens", " ")), keys, ["line_index", "tokens"], make, schema)
     firsts = out.where("update_type = 'cluster_created'").select(F.col("window_id").alias("w_"), F.col("first_index").alias("f_"), F.row_number().over(Window.partitionBy("window_id").orderBy("first_index")).cast("long").alias("cluster_id"))
     same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("first_index") == F.col("f_"))
     return out.join(firsts, same).select("window_id", "line_index", "cluster_id", "cluster_size", "template", "update_type")

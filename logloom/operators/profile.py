@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from logloom.config import PARAM, TemplaterConfig
 from logloom.functions import sequences, text
 from logloom.operators.fold import pair_template
+from logloom.scratch import materialize
 
 KEY = ["window_id", "group_id"]
 
@@ -58,6 +59,10 @@ def _pair(a: pd.Series, b: pd.Series) -> pd.Series:
 def templates(lines: DataFrame) -> DataFrame:
     """(window_id, group_id, template): lexical where members have equally many lexical tokens, else by
     words where they have equally many of those, else from the first two members' common words."""
+    sizes = group_sizes(lines)
+    # a line alone is its own template, and its tokens needn't be compared
+    alone = _same(lines.select(*KEY, "message"), sizes.where(F.col("count") == 1).select(*KEY), KEY).select(*KEY, F.col("message").alias("template"))
+    lines = _same(lines.select(*KEY, "line_index", "message"), sizes.where(F.col("count") > 1).select(*KEY), KEY)
     lexical = static_positions(lines.select(*KEY, text.lex(F.col("message")).alias("tokens")))
     first = first_members(lines.select(*KEY, "line_index", "message"), 2)
     first = first.groupBy(*KEY).agg(F.max(F.when(F.col("rank") == 1, F.col("message"))).alias("m0"), F.max(F.when(F.col("rank") == 2, F.col("message"))).alias("m1"))
@@ -71,7 +76,7 @@ def templates(lines: DataFrame) -> DataFrame:
     w0, w1 = text.words(F.col("m0")), text.words(F.col("m1"))
     worded = rest.where("static is not null").select(*KEY, sequences.positional_template(w0, F.col("static")).alias("template"))
     paired = rest.where("static is null").select(*KEY, _pair(w0, w1).alias("template"))
-    return plain.union(worded).union(paired)
+    return alone.union(plain).union(worded).union(paired)
 
 
 def captures(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def template_groups(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig())
     """lines: window_id, line_index, group_id, message, perhaps level and timestamp; groups as the caller
     likes. One row per group: window_id, id, first_index, count, template (clipped), samples, slots."""
     sizes = group_sizes(lines)
-    found = templates(lines)
+    found = materialize(templates(lines), "templates")
     slots = slot_summaries(captures(lines, found), cfg.slot_sample_cap)
     listed = slots.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "summary"))), lambda x: x["summary"]).alias("slots"))
     joined = _same(sizes, found, KEY)

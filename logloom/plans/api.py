@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.config import TemplaterConfig
 from logloom.operators import grouping, profile
+from logloom.scratch import materialize
 
 
 def with_groups(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
@@ -17,8 +18,9 @@ def with_groups(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> D
 
 def template_logs(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
     """Template groups of all windows of lines (window_id, line_index, message, perhaps level, timestamp).
-    The grouped lines are used by several aggregations; persist them where the fold is costly."""
-    return profile.template_groups(with_groups(lines, cfg).withColumn("message", F.coalesce("message", F.lit(""))), cfg)
+    The fold runs at once: its result, which several aggregations read, is written to the shared folder."""
+    grouped = with_groups(lines, cfg).withColumn("message", F.coalesce("message", F.lit("")))
+    return profile.template_groups(materialize(grouped, "grouped"), cfg)
 
 
 def template_groups(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
