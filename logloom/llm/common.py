@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.scratch import discard, materialize, shared_dir
 from logloom.ship import ship
 
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: Rows that a Python operator holds at once while it turns results into Arrow batches.
 OUT_ROWS = 50_000
 
@@ -23,35 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and read it back: lineage is cut,
-    a lost executor costs a reread, and the plan above sees real sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def trimmed(run: Callable) -> Callable:
     """``run`` for mapInArrow, with what its task has freed given back to the system at its end: workers
     live on, and the allocators would keep it beside the next operator's memory."""
