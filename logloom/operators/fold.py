@@ -157,14 +157,14 @@ class Drain:
         return self._ingest(tokens)[:2]
 
     def add_joined(self, text: str) -> tuple[Cluster, str]:
-        """The same for tokens joined by blanks. A line that comes again while nothing on its way has
-        changed joins the same cluster and changes nothing."""
+        """The same for tokens joined by blanks. A line that changed nothing and comes again while
+        nothing on its way has changed joins the same cluster."""
         known = self.seen.get(text)
         if known is not None and known[1].version == known[2] and known[3] == self.made:
             known[0].size += 1
             return known[0], NONE
         cluster, update, leaf = self._ingest(tokens_of(text))
-        if self.max_clusters is None:
+        if update == NONE and self.max_clusters is None:
             if len(self.seen) >= 100_000:
                 self.seen.clear()
             self.seen[text] = (cluster, leaf, leaf.version, self.made)
@@ -211,9 +211,10 @@ class FullSearch:
         else:
             update = best.become(merged(best.tokens, tokens, self.param))
             best.size += 1
-        if update != NONE:
+        if update == NONE:
+            self.seen[text] = best
+        else:
             self.seen.clear()
-        self.seen[text] = best
         return best, update
 
 

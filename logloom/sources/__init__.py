@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from logloom.functions import parse
@@ -37,8 +38,8 @@ def parse_lines(lines: DataFrame, form: str = "text", strict: bool = False, line
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(line_index, line) of text files in the order of files and lines; blank lines go. The order is that
-    of the splits, made explicit once: offsets of splits are counted, then lines are numbered in each."""
+    """(line_index, line) of text files; blank lines go. The index rises with the splits of the files and
+    the lines in them and has gaps."""
     rows = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r\z", "").alias("line"), F.monotonically_increasing_id().alias("place"))
     return rows.where(not_blank(F.col("line"))).select(F.col("place").alias("line_index"), "line")
 
@@ -46,8 +47,18 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def read_structured_csv(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(line_index, content, template) of a labelled CSV with columns Content and EventTemplate; rows
     without both go, ragged ones stay, empty fields are empty strings."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, nullValue="\0", emptyValue="")
-    rows = raw.select(F.monotonically_increasing_id().alias("line_index"), F.col("Content").alias("content"), F.col("EventTemplate").alias("template")).where("content is not null and template is not null")
+    how = dict(header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=True)
+    names = spark.read.csv(path, **how).columns
+    schema = StructType([StructField(n, StringType()) for n in [*names, "_bad"]])
+    raw = spark.read.csv(path, schema=schema, columnNameOfCorruptRecord="_bad", enforceSchema=True, **how)
+    # the reader gives null for an empty field and for one that a short row lacks
+    short = F.col("_bad").isNotNull() & F.col(f"`{names[-1]}`").isNull()
+
+    def field(name: str) -> Column:
+        there = ~short | F.coalesce(*(F.col(f"`{n}`") for n in names[names.index(name) :])).isNotNull()
+        return F.when(there, F.coalesce(F.col(f"`{name}`"), F.lit("")))
+
+    rows = raw.select(F.monotonically_increasing_id().alias("line_index"), field("Content").alias("content"), field("EventTemplate").alias("template")).where("content is not null and template is not null")
     return rows if most is None else rows.orderBy("line_index").limit(most)
 
 
