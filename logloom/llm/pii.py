@@ -64,17 +64,16 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def _with_gaps(kind: str, pattern: str) -> Column:
-    """Matches of a kind in m_<kind>, each with the length (and for words the end) of what stands before."""
+    """Matches of a kind in m_<kind>, each with the length and the end of what stands before."""
     hits = F.col(f"m_{kind}")
-    tail = (lambda g: F.right(g, F.lit(64))) if kind == "word" else (lambda g: F.lit(None).cast("string"))
-    before = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(hits)), lambda g: F.struct(F.char_length(g).alias("gap"), tail(g).alias("tail")))
+    before = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(hits)), lambda g: F.struct(F.char_length(g).alias("gap"), F.right(g, F.lit(64)).alias("tail")))
     zipped = F.zip_with(before, hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), g["gap"].alias("gap"), g["tail"].alias("tail"), m.alias("match")))
     return F.when(F.size(hits) > 0, zipped)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, id, found): for each kind and for words, matches in order, each with what stands before it
-    since the last one: its length and, for words, its end. No text moves."""
+    since the last one: its length and its end. No text moves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"))
     df = df.withColumn("digits", F.col("text").rlike("[0-9]"))
@@ -143,18 +142,20 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     checks = F.lit(False)
     for kind in KINDS:
         checks = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(checks)
-    base = found.where(F.col("kind") != "word").where(checks).select("rid", "kind", "start", "end", "match", F.lit(True).alias("base"))
+    valid_base = found.where(F.col("kind") != "word").where(checks)
+    base = valid_base.select("rid", "kind", "start", "end", "match", F.lit(True).alias("base"))
     # trailing punctuation isn't part of an instance
     word = F.regexp_extract("match", r"\A[\"'(<\[]*+(.*?)[\"')>\].,;:!?]*\z", 1)
     lead = F.char_length(F.regexp_extract("match", r"\A[\"'(<\[]*+", 0))
-    context = F.lower(F.regexp_replace(F.regexp_extract("tail", r"(?:\S+\s+){1,2}\z", 0), r"\s+", " "))
-    words = found.where("kind = 'word'").select("rid", (F.col("start") + lead).alias("start"), word.alias("instance"), context.alias("pattern"), seed_kind(F.col("match")).alias("seed"))
+    context = F.lower(F.regexp_replace(F.regexp_extract("tail", r"(?:\S+\s+){1,2}\z", 0), r"\s+", " ")).alias("pattern")
+    seeds = valid_base.select(context, F.col("match").alias("instance"), F.col("kind").alias("seed"))
+    words = found.where("kind = 'word'").where(seed_kind(F.col("match")).isNull()).select("rid", (F.col("start") + lead).alias("start"), word.alias("instance"), context)
     words = words.where("pattern <> '' and instance <> ''")
-    patterns = bootstrap(words.select("pattern", "instance", "seed"), **settings)
+    patterns = bootstrap(seeds.where("pattern <> ''").union(words.select("pattern", "instance", F.lit(None).cast("string"))), **settings)
     shaped = F.lit(False)
     for kind in KINDS:
         shaped = F.when(F.col("kind") == kind, F.col("instance").rlike(rf"\A{SHAPE[kind]}\z")).otherwise(shaped)
-    fresh = words.where("seed is null").join(patterns, "pattern").where(shaped)
+    fresh = words.join(patterns, "pattern").where(shaped)
     fresh = fresh.select("rid", "kind", "start", (F.col("start") + F.char_length("instance")).alias("end"), F.col("instance").alias("match"), F.lit(False).alias("base"))
     ordered = Window.partitionBy("rid").orderBy("start", F.desc("base"), "end")
     reached = F.max(F.when(F.col("base"), F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))

@@ -187,11 +187,13 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42
 
 def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, with all their columns. Rows that
-    repeat this id stay once. Rows without an id stay only where their whole group has none."""
-    groups = materialize(near_duplicates(docs, tau, size, seed, id_col, text_col), "groups")
-    chosen = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    chosen = materialize(chosen.select(F.col(id_col).alias("chosen_id_"), "n"), "chosen")
-    kept = docs.join(chosen.drop("n"), docs[id_col].eqNullSafe(F.col("chosen_id_")), "left_semi")
-    if chosen.where("n > 1 and chosen_id_ is not null").head(1):
-        kept = kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return kept
+    repeat such an id stay once; rows without an id all stay."""
+    groups = materialize(near_duplicates(docs, tau, size, seed, id_col, text_col).where(F.col(id_col).isNotNull()), "groups")
+    chosen = F.col("component_id") == F.col(id_col)
+    if not groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+        # those that go are the smaller part, often small enough to be sent to the texts
+        gone = materialize(groups.where(~chosen).select(F.col(id_col).alias("gone_id_")), "gone")
+        return docs.join(gone, docs[id_col] == F.col("gone_id_"), "left_anti")
+    stay = materialize(groups.where(chosen).select(F.col(id_col).alias("stay_id_")).distinct(), "stay")
+    kept = docs.join(stay, docs[id_col] == F.col("stay_id_"), "left_semi").dropDuplicates([id_col])
+    return kept.union(docs.where(F.col(id_col).isNull()))
