@@ -14,6 +14,8 @@ WS = r"\p{IsWhite_Space}"
 WORD = r"\p{IsAlphabetic}\p{N}_\-"
 #: Fixed value: a run of word characters, one ASCII punctuation character, or a run of anything else.
 LEX = rf"[{WORD}]+|[\p{{Punct}}&&[^_-]]|[^{WS}{WORD}\p{{Punct}}]+"
+#: What these are for ASCII alone, where Java's Unicode classes are slow and not needed.
+ASCII_WS, ASCII_LEX = r"\t-\r ", r"[A-Za-z0-9_\-]+|[!-,./:-@\[-^`{-~]|[\x00-\x08\x0E-\x1F\x7F]+"
 #: Delimiters that become blanks in the delimited token mode.
 DELIMITERS = "=:,{}[]()\"';"
 #: Fixed value: ASCII punctuation.
@@ -40,28 +42,42 @@ DEFAULT_MASKS = (
 )
 
 
-def mask(line: Column, masks: tuple[Mask, ...] = DEFAULT_MASKS, prefix: str = "<", suffix: str = ">") -> Column:
+def is_ascii(line: Column) -> Column:
+    return F.octet_length(line) == F.char_length(line)
+
+
+def _masked(line: Column, masks: tuple[Mask, ...], prefix: str, suffix: str, plain: bool) -> Column:
     for m in masks:
-        line = F.regexp_replace(line, m.pattern, f"{prefix}{m.label}{suffix}")
+        line = F.regexp_replace(line, m.pattern.removeprefix("(?U)") if plain else m.pattern, f"{prefix}{m.label}{suffix}")
     return line
 
 
+def mask(line: Column, masks: tuple[Mask, ...] = DEFAULT_MASKS, prefix: str = "<", suffix: str = ">") -> Column:
+    return F.when(is_ascii(line), _masked(line, masks, prefix, suffix, True)).otherwise(_masked(line, masks, prefix, suffix, False))
+
+
 def trim_ws(line: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(line, rf"\A[{WS}]+|[{WS}]+\z", "")
 
 
+def _split(line: Column, plain: bool) -> Column:
+    return F.filter(F.split(line, f"[{ASCII_WS if plain else WS}]+", -1), lambda x: x != "")
+
+
 def words(line: Column) -> Column:
     """Tokens between Unicode white space."""
-    return F.filter(F.split(line, f"[{WS}]+", -1), lambda x: x != "")
+    return F.when(is_ascii(line), _split(line, True)).otherwise(_split(line, False))
 
 
 def whitespace_tokens(line: Column, masks: tuple[Mask, ...] = DEFAULT_MASKS) -> Column:
-    return words(mask(line, masks))
+    parts = [_split(_masked(line, masks, "<", ">", plain), plain) for plain in (True, False)]
+    return F.when(is_ascii(line), parts[0]).otherwise(parts[1])
 
 
 def delimited_tokens(line: Column, masks: tuple[Mask, ...] = DEFAULT_MASKS) -> Column:
-    return words(F.translate(mask(line, masks), DELIMITERS, " " * len(DELIMITERS)))
+    parts = [_split(F.translate(_masked(line, masks, "<", ">", plain), DELIMITERS, " " * len(DELIMITERS)), plain) for plain in (True, False)]
+    return F.when(is_ascii(line), parts[0]).otherwise(parts[1])
 
 
 def content_tokens(line: Column, delimiters: tuple[str, ...] = ()) -> Column:
@@ -73,12 +89,12 @@ def content_tokens(line: Column, delimiters: tuple[str, ...] = ()) -> Column:
 
 
 def lex(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(LEX), F.lit(0))
+    return F.when(is_ascii(line), F.regexp_extract_all(line, F.lit(ASCII_LEX), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(LEX), F.lit(0)))
 
 
 def lex_gaps(line: Column) -> Column:
     """What stands before, between and after the lexical tokens: one more than there are tokens."""
-    return F.split(line, LEX, -1)
+    return F.when(is_ascii(line), F.split(line, ASCII_LEX, -1)).otherwise(F.split(line, LEX, -1))
 
 
 def is_punct(token: Column) -> Column:

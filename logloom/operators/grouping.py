@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from logloom.config import PARAM, TemplaterConfig, grouper_name
 from logloom.functions import text
 from logloom.operators.fold import Drain, FullSearch, Statistical
+from logloom.scratch import materialize
 from logloom.ship import ship
 
 MODES = {"drain": "compact", "drain-stock": "whitespace", "drain-delimited": "delimited", "drain-fullsearch": "whitespace"}
@@ -84,8 +85,10 @@ def lines_of(df: DataFrame, message: str | Column = "message", index: str | Colu
 
 
 def finalize(clustered: DataFrame) -> DataFrame:
-    """Groups numbered from 0 in the order of their first lines: (window_id, line_index, group_id)."""
-    firsts = clustered.select("window_id", "first_index").distinct()
+    """Groups numbered from 0 in the order of their first lines: (window_id, line_index, group_id). The
+    fold's rows are written first, so that it runs once; the numbers come from a row per group."""
+    clustered = materialize(clustered, "clusters")
+    firsts = clustered.where("first_index = line_index").select("window_id", "first_index")
     numbered = firsts.withColumn("group_id", F.row_number().over(Window.partitionBy("window_id").orderBy("first_index")).cast("long") - 1)
     numbered = numbered.select(F.col("window_id").alias("w_"), F.col("first_index").alias("f_"), "group_id")
     same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("first_index") == F.col("f_"))
@@ -186,7 +189,7 @@ def online(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), masked: b
         return step
 
     schema = f"window_id {kind}, line_index long, first_index long, cluster_size long, template string, update_type string"
-    out = _fold(tokens.withColumn("tokens", F.array_join("tokens", " ")), keys, ["line_index", "tokens"], make, schema)
+    out = materialize(_fold(tokens.withColumn("tokens", F.array_join("tokens", " ")), keys, ["line_index", "tokens"], make, schema), "events")
     firsts = out.where("update_type = 'cluster_created'").select(F.col("window_id").alias("w_"), F.col("first_index").alias("f_"), F.row_number().over(Window.partitionBy("window_id").orderBy("first_index")).cast("long").alias("cluster_id"))
     same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("first_index") == F.col("f_"))
     return out.join(firsts, same).select("window_id", "line_index", "cluster_id", "cluster_size", "template", "update_type")

@@ -67,8 +67,9 @@ def templates(lines: DataFrame) -> DataFrame:
     first = first_members(lines.select(*KEY, "line_index", "message"), 2)
     first = first.groupBy(*KEY).agg(F.max(F.when(F.col("rank") == 1, F.col("message"))).alias("m0"), F.max(F.when(F.col("rank") == 2, F.col("message"))).alias("m1"))
     found = _same(first, lexical, KEY)
-    whole = sequences.lexical_template(text.lex(F.col("m0")), text.lex_gaps(F.col("m0")), F.col("static"))
-    plain = found.where("static is not null").select(*KEY, whole.alias("template"))
+    # columns first: an expression inside a lambda is evaluated for every element
+    lexed = found.where("static is not null").withColumn("tokens", text.lex(F.col("m0"))).withColumn("gaps", text.lex_gaps(F.col("m0")))
+    plain = lexed.select(*KEY, sequences.lexical_template(F.col("tokens"), F.col("gaps"), F.col("static")).alias("template"))
     ragged = found.where("static is null").select(*KEY, "m0", "m1")
     members = _same(lines.select(*KEY, "message"), ragged.select(*KEY), KEY)
     by_word = static_positions(members.select(*KEY, text.words(F.col("message")).alias("tokens")))

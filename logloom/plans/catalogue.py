@@ -104,10 +104,10 @@ def f3_f4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f6_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("message")
-    tokens, gaps = text.lex(m), text.lex_gaps(m)
-    again = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(tokens, i), F.lit("")))), "")
-    return event_lines(spark, sf_dir).select("line_index", F.array_join(tokens, " ").alias("tokens"), F.size(tokens).cast("long").alias("n_tokens"), (again == m).alias("rebuilt"))
+    # columns first: an expression inside a lambda is evaluated for every element
+    lines = event_lines(spark, sf_dir).withColumn("t", text.lex(F.col("message"))).withColumn("gaps", text.lex_gaps(F.col("message")))
+    again = F.array_join(F.zip_with("gaps", "t", lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    return lines.select("line_index", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"), (again == F.col("message")).alias("rebuilt"))
 
 
 def f8_f9_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
