@@ -187,12 +187,12 @@ def masked(text: Column, fresh: Column) -> Column:
 def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **settings) -> DataFrame:
     """The rows of ``docs`` with base matches and discovered instances masked, all columns kept. Rows
     that repeat an id are masked with each other's discoveries; ``size_col`` is counted again."""
-    fresh = extract(docs, id_col, text_col, **settings).select(F.col(id_col).alias("id_"), F.filter("spans", lambda s: ~s["base"]).alias("fresh")).where(F.size("fresh") > 0)
-    fresh = materialize(fresh.groupBy("id_").agg(F.flatten(F.collect_list("fresh")).alias("fresh_")), "fresh")
-    none = F.array().cast(fresh.schema["fresh_"].dataType)
-    joined = docs.join(fresh, F.col(id_col).eqNullSafe(F.col("id_")), "left") if fresh.head(1) else docs.withColumn("fresh_", none)
-    done = joined.withColumn("text_", masked(F.col(text_col), F.coalesce("fresh_", none)))
-    new = {text_col: F.col("text_")}
+    fresh = extract(docs, id_col, text_col, **settings).select(F.col(id_col).alias("__pii_id"), F.filter("spans", lambda s: ~s["base"]).alias("fresh")).where(F.size("fresh") > 0)
+    fresh = materialize(fresh.groupBy("__pii_id").agg(F.flatten(F.collect_list("fresh")).alias("__pii_fresh")), "fresh")
+    none = F.array().cast(fresh.schema["__pii_fresh"].dataType)
+    joined = docs.join(fresh, F.col(id_col).eqNullSafe(F.col("__pii_id")), "left") if fresh.head(1) else docs.withColumn("__pii_fresh", none)
+    done = joined.withColumn("__pii_text", masked(F.col(text_col), F.coalesce("__pii_fresh", none)))
+    new = {text_col: F.col("__pii_text")}
     if size_col in docs.columns:
-        new[size_col] = F.when(F.col("text_") == F.col(text_col), F.col(size_col)).otherwise(F.char_length("text_")).cast(dict(docs.dtypes)[size_col])
+        new[size_col] = F.when(F.col("__pii_text") == F.col(text_col), F.col(size_col)).otherwise(F.char_length("__pii_text")).cast(dict(docs.dtypes)[size_col])
     return done.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

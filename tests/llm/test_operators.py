@@ -21,7 +21,7 @@ from logloom.llm import bpe, common, embed_dedup, katz, langid, lengths, merkle,
 from logloom.ship import ship
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, id string, row string, n_tokens string, component_id string"
+SCHEMA = "doc_id long, text string, id string, row string, h string, id_ string"
 AWKWARD = [(None, None), (None, "a b"), (1, ""), (2, None), (3, " \n\t "), (4, "x" * 3000), (5, "the same text of some words"), (5, "the same text of some words"), (6, "the same text of some words"), (7, "12345 !?"), (8, "日本 é 😀 z"), (9, "w " * 2000)]
 
 
@@ -139,6 +139,15 @@ def test_patterns_discover_identifiers(spark):
     assert masked[30] == "please call me at <PHONE> today" and masked[3] == masked[30] and masked[32] == texts[32]
 
 
+def test_personal_data_of_awkward_rows(spark, awkward, empty):
+    assert sorted(len(r["spans"]) for r in pii.extract(awkward).collect()) == [0] * len(AWKWARD)
+    masked = pii.without_personal_data(awkward)
+    assert masked.columns == awkward.columns and sorted(str(r["text"]) for r in masked.collect()) == sorted(str(t) for _, t in AWKWARD)
+    assert pii.extract(empty).collect() == [] and pii.without_personal_data(empty).collect() == []
+    odd = spark.createDataFrame([(1, "9" * 20_000), (2, "a" * 20_000 + "@"), (3, "+1 " * 5_000), (None, "q@r.st"), (4, "q@r.st")], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["spans"]) for r in pii.extract(odd).collect()} == {1: 0, 2: 0, 3: 0, None: 1, 4: 1}
+
+
 # 3
 
 
@@ -172,6 +181,15 @@ def test_repeated_strings(spark, settings):
             assert (bytes(r["kept"]), [(s["start"], s["stop"]) for s in r["spans"]]) == expected[r["doc_id"]]
 
 
+def test_repeats_of_awkward_rows(awkward, empty):
+    got = suffix.remove_repeats(awkward, 400, "none").collect()
+    assert len(got) == len(AWKWARD) and sum(r["n_bytes"] for r in got) == sum(len((t or "").encode()) for _, t in AWKWARD)
+    assert {r["doc_id"] for r in got if r["spans"]} == {4, 9}
+    kept = suffix.without_repeats(awkward, 400, size_col=None)
+    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD)
+    assert suffix.remove_repeats(empty, 400).collect() == [] and suffix.without_repeats(empty, 400).collect() == []
+
+
 def test_long_text_in_tiles(spark, monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdef ") for _ in range(9000))
