@@ -126,21 +126,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # a table of its own, so that the join with it can be split where a star's centre is hot
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         mid = materialize(large, "stars")
         down = mid.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = materialize(down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         small = (
-            down.join(lowest.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
+            down.join(lowest, F.col("a") == F.col("u"))
             .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
             .distinct()
         )
         new = materialize(small, "stars")
-        discard(now)
-        discard(mid)
+        for done in (now, mid, least, lowest):
+            discard(done)
         now, after = new, state(new)
         if after == before:
             break

@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HO
     here = F.struct("id", "start", "h")
     entries = materialize(again.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("at"), F.first("length").alias("length"), F.first("rel").alias("rel")), "entries")
     # an entry alone under its key has met only copies of itself and needs no bytes
-    many = entries.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    many = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "keys")
     asked = entries.join(many, "key").select(F.col("at.id").alias("id"), F.col("at.h").alias("h"), F.struct("key", "seg", F.col("at.start").alias("start"), "length", "rel", (F.col("different") > hot_entries).alias("hot")).alias("e"))
     asked = asked.groupBy("id", "h").agg(F.collect_list("e").alias("entries"))
     held = docs.withColumnRenamed("id", "id_").withColumnRenamed("h", "h_")
