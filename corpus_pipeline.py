@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import langid, packing, pii, simhash, suffix
+from logloom.llm import jaccard, langid, packing, pii, suffix
 from logloom.llm.common import materialize
 from logloom.llm.queries import JSON_50K, RANKS_50K
 from logloom.ship import ship
 
 #: Bytes from which a string that repeats is cut from all but its first place.
 REPEAT_BYTES = 200
+#: Words of a shingle, and the Jaccard similarity of the shingles from which documents are near copies.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash near-duplicates."""
+    """Keeps one document of each group of near copies: SimHash and MinHash candidates, linked from SIMILAR on."""
     ship(spark)
-    return simhash.one_of_each(docs, tau=4, size=4, seed=42)
+    return jaccard.one_of_each(docs, SIMILAR, SHINGLE, tau=4, seed=42)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

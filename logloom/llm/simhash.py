@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import byte_slices, connected_components, materialize, partitions, sorted_groups, trimmed
@@ -185,6 +185,28 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_row(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` of each group, with all columns: the smallest id's (null after all), then the
+    smallest text hash's. ``groups``: id, row (xxhash64 of the text) and group of every row of ``docs``."""
+    at = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("at")
+    # a table of its own, so that the join with it can be split where a group is hot
+    first = materialize(groups.groupBy("group").agg(at), "first")
+    here = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("row") == F.col("at.row"))
+    placed = groups.join(first, "group").select(F.col("id").alias("id_"), F.col("row").alias("row_"), here.alias("here_"))
+    placed = materialize(placed.groupBy("id_", "row_", "here_").agg(F.count(F.lit(1)).alias("n_")).where("not here_ or n_ > 1"), "placed")
+
+    def same(df: DataFrame, other: DataFrame) -> Column:
+        return df[id_col].eqNullSafe(other["id_"]) & (F.xxhash64(df[text_col]) == other["row_"])
+
+    # those that go are the smaller part, often small enough to be sent to the texts
+    gone, again = placed.where("not here_").select("id_", "row_"), placed.where("here_").select("id_", "row_")
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    if not again.head(1):
+        return kept
+    once, more = kept.join(again, same(kept, again), "left_anti"), kept.join(again, same(kept, again), "left_semi")
+    return once.union(more.dropDuplicates([id_col, text_col]))
+
+
 def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, with all their columns. Rows that
     repeat such an id stay once; rows without an id all stay."""
