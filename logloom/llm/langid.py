@@ -4,7 +4,8 @@ Every language gets a binary codeword. For each bit a binary classifier over has
 decides which half a text belongs to; its weights are log ratios of the two halves' smoothed trigram
 shares, counted over all labelled rows. Decoding sums a logistic loss of the bits against every
 codeword, each bit weighted by how far apart its halves lie, and takes the nearest; a text whose two
-nearest codewords are almost equally far is flagged ambiguous.
+nearest codewords are almost equally far is flagged ambiguous. Decoding also rejects: a text whose bits
+agree with its nearest codeword far less than texts of that language do is in none of the languages.
 
 Null text, empty text and text without a letter: ``und``, score 0, not ambiguous. No labelled row at
 all: every text is ``und``. One language only: that language. Ties go to the first label in order.
@@ -30,6 +31,8 @@ SLOTS = 1 << 16
 #: Languages up to which the code is exhaustive; beyond it columns are drawn and the best kept.
 EXHAUSTIVE = 6
 UNKNOWN = "und"
+#: Trigrams that are decoded together for the agreement.
+STRETCH = 256
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters becomes a blank; bytes of other characters stay.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -75,6 +78,11 @@ class Model:
     code: np.ndarray
     weights: np.ndarray
     bit_weight: np.ndarray
+    #: Of each label, how far a trigram of its labelled texts agrees with its codeword on average.
+    usual: np.ndarray
+    #: Of each slot, the log of its share in the labelled texts over an even one; and its mean over these.
+    common: np.ndarray
+    usual_common: float
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -111,7 +119,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yes, no = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
             ratio = np.log(yes) - np.log(no)
             weights[b], apart[b] = ratio, float(((yes - no) * ratio).sum())
-    return Model(labels, code, weights, apart / apart.mean() if len(apart) else apart)
+    bit_weight = apart / apart.mean() if len(apart) else apart
+    table[:, slots(np.full(3, 0x20, np.uint8))] = 0
+    mean = table @ weights.T.astype(float) / np.maximum(table.sum(axis=1, keepdims=True), 1)
+    return Model(labels, code, weights, bit_weight, (mean * code * bit_weight).sum(axis=1), *_common(share, table))
+
+
+def _common(share: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, float]:
+    if not len(share):
+        return np.zeros(SLOTS, np.float32), 0.0
+    common = np.log(share.mean(axis=0) * SLOTS).astype(np.float32)
+    common[slots(np.full(3, 0x20, np.uint8))] = 0
+    return common, float((table @ common).sum() / max(table.sum(), 1))
 
 
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,19 +143,34 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, ordered[:, -1], ordered[:, -1] - (ordered[:, -2] if like.shape[1] > 1 else 0)
 
 
-def classify(column: pa.Array, m: Model, evidence: int, ambiguous_below: float) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels, scores and ambiguity of a column of texts."""
+def classify(column: pa.Array, m: Model, evidence: int, ambiguous_below: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, scores, ambiguity, agreement, commonness and number of trigrams with a letter, of a column of texts. The
+    agreement is that of each STRETCH with its nearest codeword, as a share of what is usual for the label (1 if
+    the model has one label only), so that a text in two languages agrees like one in either. The commonness
+    is how frequent its trigrams are in the labelled texts of whatever language, as a share of what is usual there."""
     n = len(column)
-    sums, sizes, lettered = np.zeros((n, len(m.weights))), np.zeros(n), np.zeros(n, bool)
+    sums, sizes, lettered, filled, agreed = np.zeros((n, len(m.weights))), np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    shared = np.zeros(n)
+    known = len(m.usual) > 1 and bool((m.usual > 0).all())
+    towards = m.code * m.bit_weight / m.usual[:, None] if known else None
 
     def add(parts: list[bytes], rows: list[int]) -> None:
         data = np.frombuffer(b"".join(parts), np.uint8)
         idx = slots(data)
         starts = np.minimum(np.cumsum([0, *map(len, parts)])[:-1], len(idx) - 1)
+        near = np.concatenate([np.arange(a, max(z, a + 1), STRETCH) for a, z in zip(starts, [*starts[1:], len(idx)])])
+        parted = np.zeros((len(near), len(m.weights)))
         for b, w in enumerate(m.weights):
             # a trigram across two parts has blanks at the seam and counts little
-            np.add.at(sums[:, b], rows, np.add.reduceat(w[idx], starts, dtype=np.float64))
+            np.add.at(sums[:, b], rows, np.add.reduceat(found := w[idx], starts, dtype=np.float64))
+            parted[:, b] = np.add.reduceat(found, near, dtype=np.float64)
         np.add.at(sizes, rows, list(map(len, parts)))
+        held = data != 0x20
+        np.add.at(filled, rows, np.add.reduceat(held[:-2] | held[1:-1] | held[2:], starts, dtype=np.int64))
+        np.add.at(shared, rows, np.add.reduceat(m.common[idx], starts, dtype=np.float64))
+        if known:
+            owner = np.repeat(rows, [len(range(a, max(z, a + 1), STRETCH)) for a, z in zip(starts, [*starts[1:], len(idx)])])
+            np.add.at(agreed, owner, (parted @ towards.T).max(axis=1))
 
     parts, rows, size = [], [], 0
     for row, text in enumerate(column):
@@ -157,7 +191,8 @@ def classify(column: pa.Array, m: Model, evidence: int, ambiguous_below: float)
     margins = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, evidence)[:, None]
     best, score, gap = decode(margins, m)
     names = [m.labels[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
-    return names, np.where(lettered, score, 0.0), lettered & (gap < ambiguous_below)
+    share = agreed / np.maximum(filled, 1) if known else np.ones(n)
+    return names, np.where(lettered, score, 0.0), lettered & (gap < ambiguous_below), share, shared / np.maximum(filled, 1) / (m.usual_common or 1.0), filled
 
 
 #: A bit's margin is its mean log ratio times the number of trigrams, this many at most, so that long
@@ -173,22 +208,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, ambiguous = classify(batch.column(1), shared.value, evidence, ambiguous_below)
+            names, score, ambiguous, *_ = classify(batch.column(1), shared.value, evidence, ambiguous_below)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ambiguous)], ["id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+#: A text is in none of the languages if it agrees less than FAR of what is usual and its trigrams are less than
+#: COMMON as frequent (what all languages hold agrees with none), or if it holds fewer than LEAST trigrams with a
+#: letter (one letter alone is no evidence). No labelled row of the test tables lies below.
+FAR, COMMON, LEAST = 0.3, 0.5, 4
+
+
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known, with all their columns. Ambiguous ones stay."""
+    """The rows of ``docs`` that decoding finds in one or several of the languages, with all their columns."""
     if not len(model.weights):
         return docs.where(F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, _ = classify(batch.column(batch.schema.get_field_index(text_col)), shared.value, EVIDENCE, AMBIGUOUS)
-            yield batch.filter(pa.array([x != UNKNOWN for x in names]))
+            names, _, _, share, common, filled = classify(batch.column(batch.schema.get_field_index(text_col)), shared.value, EVIDENCE, AMBIGUOUS)
+            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & ((share >= FAR) | (common >= COMMON)) & (filled >= LEAST)))
 
     return docs.mapInArrow(trimmed(run), docs.schema)
