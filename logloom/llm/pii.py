@@ -3,8 +3,8 @@
 Seeds are base matches of four kinds (email, ip, card, phone). What is like an identifier (a word that
 holds a digit or an at sign) is an instance; the two words before it are a lexical pattern. Patterns
 and instances form a graph that is scored in rounds: a pattern is as good as the instances it
-introduces, an instance as certain as the patterns that introduce it. Patterns of high confidence at
-last mark instances of their kind's shape that no base match has seen. Base matches always stay.
+introduces, an instance as certain as the patterns that introduce it, and certain instances bring in
+further patterns like seeds. Patterns of high confidence at last mark instances of their kind's shape that no base match has seen. Base matches always stay.
 
 Null text is empty. Repeated rows are counted as documents of their own. Offsets are code points, ends
 exclusive. Patterns can be as common as they like: they are summed before they move, and joins on them
@@ -111,11 +111,22 @@ def seed_kind(word: Column) -> Column:
     )
 
 
-def bootstrap(words: DataFrame, rounds: int = 3, least_seeds: int = 4, confident: float = 0.6, smoothing: float = 1.0) -> DataFrame:
+def shaped(instance: Column, kind: Column) -> Column:
+    """Whether an instance looks like one of its kind."""
+    out = F.lit(False)
+    for k in KINDS:
+        out = F.when(kind == k, instance.rlike(rf"\A{SHAPE[k]}\z")).otherwise(out)
+    return out
+
+
+def bootstrap(words: DataFrame, rounds: int = 3, least_seeds: int = 4, confident: float = 0.6, smoothing: float = 1.0, certain: float = 0.6) -> DataFrame:
     """words: pattern, instance, seed (kind or null). Typed patterns of high confidence: (pattern, kind,
-    confidence). Confidence is the certainty of a pattern's distinct instances over their number."""
+    confidence). Confidence is the certainty of a pattern's distinct instances over their number. In each
+    round every pattern that introduces ``least_seeds`` instances enters, seeds or such as have the kind's shape
+    and are ``certain`` by the patterns held so far."""
     graph = materialize(words.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+    known = materialize(graph.where("seed is not null").select("instance", F.col("seed").alias("kind")).distinct(), "known")
     begun = graph.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
     begun = begun.join(sizes, "pattern").select("pattern", "kind", "instances", (F.col("seeds") / (F.col("instances") + smoothing)).alias("confidence"))
     patterns = materialize(begun, "patterns")
@@ -123,11 +134,12 @@ def bootstrap(words: DataFrame, rounds: int = 3, least_seeds: int = 4, confident
         if not patterns.head(1):
             break
         typed = graph.join(patterns.select("pattern", "kind", "confidence"), "pattern")
-        seen = F.max((F.col("seed") == F.col("kind")).cast("double"))
-        other = F.max((F.col("seed") != F.col("kind")).cast("double"))
         belief = 1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.99)))))
-        scores = typed.groupBy("instance", "kind").agg(F.when(seen == 1, 1.0).when(other == 1, 0.0).otherwise(belief).alias("score"))
-        again = typed.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
+        # what is a seed of any kind is certain of that and of no other
+        found = typed.join(known.select("instance"), "instance", "left_anti").groupBy("instance", "kind").agg(belief.alias("score"))
+        scores = materialize(found.where("score > 0").withColumn("firm", (F.col("score") >= certain) & shaped(F.col("instance"), F.col("kind"))).union(known.select("instance", "kind", F.lit(1.0), F.lit(True))), "scores")
+        # over the whole graph, so that these instances lead to patterns not held yet
+        again = graph.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count_if("firm").alias("firm")).where(F.col("firm") >= least_seeds)
         patterns = materialize(again.join(sizes, "pattern").select("pattern", "kind", "instances", (F.col("score") / (F.col("instances") + smoothing)).alias("confidence")), "patterns")
     best = Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind")
     good = patterns.where(F.col("confidence") >= confident).withColumn("r", F.row_number().over(best)).where("r = 1")
@@ -152,10 +164,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     words = found.where("kind = 'word'").where(seed_kind(F.col("match")).isNull()).select("rid", (F.col("start") + lead).alias("start"), word.alias("instance"), context)
     words = words.where("pattern <> '' and instance <> ''")
     patterns = bootstrap(seeds.where("pattern <> ''").union(words.select("pattern", "instance", F.lit(None).cast("string"))), **settings)
-    shaped = F.lit(False)
-    for kind in KINDS:
-        shaped = F.when(F.col("kind") == kind, F.col("instance").rlike(rf"\A{SHAPE[kind]}\z")).otherwise(shaped)
-    fresh = words.join(patterns, "pattern").where(shaped)
+    fresh = words.join(patterns, "pattern").where(shaped(F.col("instance"), F.col("kind")))
     fresh = fresh.select("rid", "kind", "start", (F.col("start") + F.char_length("instance")).alias("end"), F.col("instance").alias("match"), F.lit(False).alias("base"))
     ordered = Window.partitionBy("rid").orderBy("start", F.desc("base"), "end")
     reached = F.max(F.when(F.col("base"), F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
