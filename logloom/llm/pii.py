@@ -37,6 +37,8 @@ SHAPE = {
     "card": r"(?:[^0-9]*[0-9]){12,19}[^0-9]*",
     "phone": r"(?:[^0-9A-Za-z]*[0-9]){7,15}",
 }
+#: Characters of a gap that a context may come from.
+TAIL = 64
 WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -66,7 +68,7 @@ def valid(kind: str, match: Column) -> Column:
 def _with_gaps(kind: str, pattern: str) -> Column:
     """Matches of a kind in m_<kind>, each with the length and the end of what stands before."""
     hits = F.col(f"m_{kind}")
-    before = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(hits)), lambda g: F.struct(F.char_length(g).alias("gap"), F.right(g, F.lit(64)).alias("tail")))
+    before = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(hits)), lambda g: F.struct(F.char_length(g).alias("gap"), F.right(g, F.lit(TAIL)).alias("tail")))
     zipped = F.zip_with(before, hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), g["gap"].alias("gap"), g["tail"].alias("tail"), m.alias("match")))
     return F.when(F.size(hits) > 0, zipped)
 
@@ -92,11 +94,16 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def places(scanned: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, match, tail) of all matches, before they are tested."""
+    """(rid, kind, start, end, match, tail) of all matches, before they are tested; tail is the end of the
+    text before the match, back to the second match of its kind before it if the gaps are short."""
     one = scanned.select("rid", F.explode("found").alias("list")).select("rid", F.posexplode("list").alias("i", "m"))
-    so_far = Window.partitionBy("rid", "m.kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("rid", "m.kind").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a gap may hold fewer than two words; the words before it are then the matches and gaps before
+    before = F.concat(*(F.coalesce(F.lag(f"m.{c}", k).over(order), F.lit("")) for k in (2, 1) for c in ("tail", "match")), F.col("m.tail"))
+    tail = F.when(F.col("m.gap") >= TAIL, F.col("m.tail")).otherwise(before)
     end = F.sum(F.col("m.gap").cast("long") + F.char_length("m.match")).over(so_far)
-    return one.withColumn("end", end).select("rid", "m.kind", (F.col("end") - F.char_length("m.match")).alias("start"), "end", "m.match", "m.tail")
+    return one.withColumn("end", end).select("rid", "m.kind", (F.col("end") - F.char_length("m.match")).alias("start"), "end", "m.match", tail.alias("tail"))
 
 
 def seed_kind(word: Column) -> Column:
@@ -160,8 +167,14 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     word = F.regexp_extract("match", r"\A[\"'(<\[]*+(.*?)[\"')>\].,;:!?]*\z", 1)
     lead = F.char_length(F.regexp_extract("match", r"\A[\"'(<\[]*+", 0))
     context = F.lower(F.regexp_replace(F.regexp_extract("tail", r"(?:\S+\s+){1,2}\z", 0), r"\s+", " ")).alias("pattern")
-    seeds = valid_base.select(context, F.col("match").alias("instance"), F.col("kind").alias("seed"))
-    words = found.where("kind = 'word'").where(seed_kind(F.col("match")).isNull()).select("rid", (F.col("start") + lead).alias("start"), word.alias("instance"), context)
+    # words and seeds share contexts: a seed has that of the word it begins, and words in a base match are no instances
+    spots = found.where("kind = 'word'").select("rid", (F.col("start") + lead).alias("start"), word.alias("instance"), context, seed_kind(F.col("match")).alias("seed"), F.lit(False).alias("base"), F.lit(None).cast("long").alias("end"))
+    spots = spots.union(base.select("rid", "start", F.col("match").alias("instance"), F.lit(None).cast("string"), F.col("kind"), "base", "end"))
+    here = Window.partitionBy("rid").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy("rid", "start")
+    spots = materialize(spots.withColumn("reached", F.max("end").over(here)).withColumn("pattern", F.max("pattern").over(at)), "spots")
+    seeds = spots.where("base").select("pattern", "instance", "seed")
+    words = spots.where("not base and seed is null and (reached is null or reached <= start)").select("rid", "start", "instance", "pattern")
     words = words.where("pattern <> '' and instance <> ''")
     patterns = bootstrap(seeds.where("pattern <> ''").union(words.select("pattern", "instance", F.lit(None).cast("string"))), **settings)
     fresh = words.join(patterns, "pattern").where(shaped(F.col("instance"), F.col("kind")))

@@ -16,3 +16,11 @@ def test_second_generation_patterns(spark):
     only = ["just dial now 555-0999 today", "room 555-0999 is far"]
     got = discovered(spark, seeds + both + only)
     assert got == {(30 + i, "phone", f"555-01{i % 6:02d}") for i in range(12)} | {(42, "phone", "555-0999")}
+
+
+def test_contexts_across_numbers(spark):
+    seeds = [f"order 12 mail bob{i}@x.com today" for i in range(30)] + [f"id {i}, +1 (555) 010-{i:04d}" for i in range(30)]
+    unseen = ["order 12 mail bob@localhost today", "id 55, 555-0199", "at 55, 555-0199"]
+    assert discovered(spark, seeds + unseen) == {(60, "email", "bob@localhost")}
+    listed = [f"call 7 9 +1 (555) 010-{i:04d}" for i in range(30)]
+    assert discovered(spark, [*listed, "call 7 9 555-0199"]) == {(30, "phone", "555-0199")}
