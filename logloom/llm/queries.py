@@ -29,9 +29,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.remove_repeats(documents(spark, sf_dir), least=400, keep="none")
+    out = suffix.remove_repeats(documents(spark, sf_dir), least=400, keep="none", report=200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("shared", F.lit(0).cast("long")).alias("n_shared_200"))
 
 
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

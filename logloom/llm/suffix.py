@@ -6,11 +6,13 @@ share an anchor, equal strings always have anchors of equal hash, and only runs
 occurs again are candidates. Runs with equal bytes are one entry with a count.
 
 The entries of an anchor hash are put in suffix order from the anchor on, and in the order of their
-reversed prefixes; the longest common prefixes of neighbours give, as range minima, how far any two
-agree to the right and to the left. A match of at least ``least`` bytes in total covers both. With
-``keep="first"`` only entries at earlier positions count as factors (longest previous factors: an
-entry is removed as far as an earlier one matches, and the first copy stays); with ``keep="none"``
-every copy goes. Strings are judged on the input, never on what is left of it.
+reversed prefixes, each with the longest common prefixes of neighbours. Among entries that agree to
+the left, the longest-previous-factor array says how far each agrees to the right with one at an earlier
+position: the previous and next smaller positions in suffix order hold its longest earlier match. A
+match of at least ``least`` bytes in total covers both sides. With ``keep="first"`` these arrays decide
+(an entry is removed as far as an earlier one matches, and the first copy stays); with ``keep="none"``
+their two-sided form does, which takes neighbours at any position, and every copy goes. Strings are
+judged on the input, never on what is left of it.
 
 Null and empty texts and texts below ``least`` bytes lose nothing. Rows that repeat id and text are
 copies of each other, and all of them go (with ``keep="first"`` they stay alike). Null ids are
@@ -34,8 +36,8 @@ GRAM, TILE = 16, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Different entries of one anchor up to which all pairs are looked at, and beyond which it is dealt out.
-PAIRS, HOT = 400, 20_000
+#: Different entries of one anchor beyond which it is dealt out.
+HOT = 20_000
 #: String starts in a block of a hot anchor.
 PIECE = 16
 
@@ -154,8 +156,40 @@ def candidate_runs(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(trimmed(run), f"key long, seg long, id {kind}, h long, start long, length int, rel int")
 
 
+def shared_contexts(docs: DataFrame, width: int) -> DataFrame:
+    """docs: id, h, text binary. Rows id, h, shared: how many anchors of a text stand in ``width`` bytes that
+    also occur elsewhere. What it counts is a repeat of ``width`` bytes; every repeat of ``width`` and a
+    third more bytes holds such an anchor whole. Only hashes move."""
+    before, every = width * 2 // 5, width // 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = byte_slices(batch.column(2))
+            for part, ends, rows, _ in tiles(data, at, 2 * width):
+                if len(part) < width:
+                    continue
+                h = gram_hashes(part)
+                low = window_minima((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), every)
+                start = np.unique((low & _LOW).astype(np.int64)) - before
+                which = np.searchsorted(ends, start + before, "right")
+                inside = (start >= np.concatenate([[0], ends])[which]) & (start + width <= ends[which])
+                start, which = start[inside], which[inside]
+                row = pa.array(rows[which])
+                yield pa.RecordBatch.from_arrays([pa.array(Prefix(h)(start, start + width).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], ["key", "id", "h"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    found = materialize(docs.mapInArrow(trimmed(run), f"key long, id {kind}, h long"), "contexts")
+    # a table of its own, so that the join with it can be split where a key is hot
+    keys = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    return found.join(keys, "key").groupBy("id", "h").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def neighbour_prefixes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the items and the common prefix length of each one with the next in that order."""
+    if len(items) == 2:
+        a, b = (np.frombuffer(x, np.uint8, min(map(len, items))) for x in items)
+        other = a != b
+        return np.array([0, 1] if items[0] <= items[1] else [1, 0]), np.array([int(other.argmax()) if other.any() else len(a)])
     order = sorted(range(len(items)), key=items.__getitem__)
     common = np.zeros(max(len(items) - 1, 0), np.int64)
     wide = max(map(len, items)) + 1
@@ -170,51 +204,88 @@ def neighbour_prefixes(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), common
 
 
-def agreement(order: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """How far any two items agree: range minima over neighbours in suffix order."""
-    n = len(order)
-    grid = np.full((n, n), 1 << 30, np.int32)
-    for i in range(n - 1):
-        grid[i, i + 1 :] = np.minimum.accumulate(common[i:])
-    grid = np.minimum(grid, grid.T)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    return grid[rank][:, rank]
+def previous_factors(common: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Longest previous factors: how far each item agrees with any at a smaller position. Items are in
+    suffix order, ``common`` holds the agreement of each one with the next.
+
+    Items leave a linked list from the largest position down, so what stands around an item when it
+    leaves are the previous and next smaller positions in suffix order; its neighbours then agree as far
+    as both agreed with it."""
+    n = len(position)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    # agreement with the live item before; the ends agree with nothing
+    agree = [0, *common.tolist(), 0]
+    out = [0] * n
+    for i in np.argsort(position)[::-1].tolist():
+        b, a = before[i], after[i]
+        out[i] = max(agree[i], agree[a])
+        agree[a] = min(agree[i], agree[a])
+        if a < n:
+            before[a] = b
+        if b >= 0:
+            after[b] = a
+    return np.array(out, np.int64)
+
+
+def either_factors(common: np.ndarray) -> np.ndarray:
+    """The two-sided form: how far each item agrees with any other, so with a neighbour in suffix order."""
+    edged = np.concatenate([[0], common, [0]])
+    return np.maximum(edged[:-1], edged[1:])
+
+
+class RangeMinima:
+    """Smallest of any range of a list, from minima over powers of two."""
+
+    def __init__(self, v: np.ndarray):
+        self.rows = [v]
+        while 2 << (len(self.rows) - 1) <= len(v):
+            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(last[:-half], last[half:]))
 
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), np.int64)
+        power = np.frexp((stop - start).astype(np.float64))[1] - 1
+        for k, row in enumerate(self.rows):
+            here = power == k
+            out[here] = np.minimum(row[start[here]], row[stop[here] - (1 << k)])
+        return out
 
-def covered(prefixes: list[bytes], suffixes: list[bytes], least: int, position: np.ndarray | None, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+
+def covered(prefixes: list[bytes], suffixes: list[bytes], least: int, position: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """For entries with ``prefixes`` (reversed) before and ``suffixes`` from the anchor: how many bytes
     to the left and right of the anchor a matching entry covers (0, 0: none). ``position``: only
-    entries at a smaller position count."""
+    entries at a smaller position count.
+
+    Entries that agree for v bytes to the left are a class. Within each class, in suffix order, the
+    longest factors give how far to the right an entry agrees with another (an earlier) one; together
+    with v that is a match. Classes change only where neighbours in the order of the prefixes agree for
+    v bytes and no more, so only these levels are looked at."""
     n = len(suffixes)
     right_order, right = neighbour_prefixes(suffixes)
     left_order, left = neighbour_prefixes(prefixes)
-    if n <= pairs:
-        r, l = agreement(right_order, right), agreement(left_order, left)
-        ok = l + r >= least
-        np.fill_diagonal(ok, False)
-        if position is not None:
-            ok &= position[None, :] < position[:, None]
-        return np.where(ok, l, 0).max(axis=1), np.where(ok, r, 0).max(axis=1)
     low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    before, after = np.array([len(p) for p in prefixes]), np.array([len(s) for s in suffixes])
-    for d in range(min(int(before.max()), least - 1) + 1):
-        fit = np.flatnonzero((before >= d) & (after >= least - d))
-        if len(fit) < 2:
-            continue
-        # entries whose string from d bytes before the anchor is equal are in the same class
-        classes = np.empty((2, n), np.int64)
-        classes[0, left_order] = np.concatenate([[0], np.cumsum(left < d)])
-        classes[1, right_order] = np.concatenate([[0], np.cumsum(right < least - d)])
-        _, same, count = np.unique(classes[0, fit] * n + classes[1, fit], return_inverse=True, return_counts=True)
-        if position is None:
-            hit = fit[count[same] > 1]
-        else:
-            earliest = np.full(len(count), np.iinfo(np.int64).max)
-            np.minimum.at(earliest, same, position[fit])
-            hit = fit[position[fit] > earliest[same]]
-        low[hit] = np.maximum(low[hit], d)
-        high[hit] = np.maximum(high[hit], least - d)
+    if n == 2:
+        if left[0] + right[0] >= least:
+            hit = slice(None) if position is None else int(position.argmax())
+            low[hit], high[hit] = left[0], right[0]
+        return low, high
+    minima = RangeMinima(right)
+    rank = np.empty(n, np.int64)
+    rank[right_order] = np.arange(n)
+    for v in np.unique(left)[::-1]:
+        if v + right.max() < least:
+            break
+        which = np.empty(n, np.int64)
+        which[left_order] = np.concatenate([[0], np.cumsum(left < v)])
+        order = np.lexsort((rank, which))
+        same = np.flatnonzero(which[order[1:]] == which[order[:-1]])
+        common = np.zeros(n - 1, np.int64)
+        common[same] = minima(rank[order[same]], rank[order[same + 1]])
+        factor = either_factors(common) if position is None else previous_factors(common, position[order])
+        # entries of a class share the anchor at least; without a factor an entry is alone in its class
+        hit = (v + factor >= least) & (factor > 0)
+        low[order[hit]] = np.maximum(low[order[hit]], v)
+        high[order[hit]] = np.maximum(high[order[hit]], factor[hit])
     return low, high
 
 
@@ -228,7 +299,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HOT, pairs: int = PAIRS) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HOT) -> DataFrame:
     """docs: id, h, text binary. Rows id, h, spans array<struct<a,b>> for documents that lose bytes."""
     first = keep == "first"
     found = materialize(candidate_runs(docs, least), "runs")
@@ -298,7 +369,7 @@ def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HO
                         ranks = sorted(range(len(one)), key=lambda k: (ids[one[k]] is not None, ids[one[k]], start[one[k]] + rel[one[k]]))
                         position = np.empty(len(one), np.int64)
                         position[ranks] = np.arange(len(one))
-                    low, high = covered([s[: rel[i]][::-1] for s, i in zip(items, one)], [s[rel[i] :] for s, i in zip(items, one)], least, position, pairs)
+                    low, high = covered([s[: rel[i]][::-1] for s, i in zip(items, one)], [s[rel[i] :] for s, i in zip(items, one)], least, position)
                     hit = high > 0
                     if hit.any():
                         out.append((key[one][hit], seg[one][hit], low[hit].astype(np.int64), high[hit].astype(np.int64)))
@@ -337,17 +408,23 @@ def rows_columns(id_col: str, text: Column) -> list[Column]:
     return [F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")]
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT, pairs: int = PAIRS, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot_entries: int = HOT, carry: bool = False, report: int | None = None) -> DataFrame:
     """One row per document: id, n_bytes, spans (merged, start and stop in bytes) and kept (binary);
-    with ``carry`` also ``row``, a struct of all columns but the text."""
+    with ``carry`` also ``row``, a struct of all columns but the text; with ``report`` also ``shared``, in how
+    many places the text repeats ``report`` bytes, which may be fewer than are removed."""
     if least < 2 * GRAM or keep not in ("none", "first"):
         raise ValueError("least must be 32 or more, keep 'none' or 'first'")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(*rows_columns(id_col, text))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if carry else []
     whole = docs.select(*rows_columns(id_col, text), F.struct(*others).alias("row")) if carry else rows
-    spans = repeated_spans(rows, least, keep, hot_entries, pairs).select(F.col("id").alias("id_"), F.col("h").alias("h_"), "spans")
-    joined = whole.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").select("id", "text", "spans", *(["row"] if carry else []))
+    spans = repeated_spans(rows, least, keep, hot_entries).select(F.col("id").alias("id_"), F.col("h").alias("h_"), "spans")
+    if report:
+        shared = shared_contexts(rows, report)
+        spans = spans.join(shared, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "full")
+        spans = spans.select(F.coalesce("id_", "id").alias("id_"), F.coalesce("h_", "h").alias("h_"), "spans", "shared")
+    more = (["row"] if carry else []) + (["shared"] if report else [])
+    joined = whole.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").select("id", "text", "spans", *more)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,11 +438,12 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: str = "none", id_col
                     merged.append([{"start": a, "stop": b} for a, b in runs_])
                     kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if runs_ else text)
                 spans_ = pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                columns = [part.column(0), pa.array(sizes, pa.int64()), spans_, pa.array(kept, pa.binary()), *([part.column(3)] if carry else [])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "spans", "kept", "row"][: len(columns)])
+                columns = [part.column(0), pa.array(sizes, pa.int64()), spans_, pa.array(kept, pa.binary()), *(part.column(3 + k) for k in range(len(more)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "spans", "kept", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(trimmed(strip), f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + (f", row {whole.schema['row'].dataType.simpleString()}" if carry else "")).withColumnRenamed("id", id_col)
+    kinds = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in more)
+    return joined.mapInArrow(trimmed(strip), f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary{kinds}").withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:

@@ -166,7 +166,7 @@ def removed(texts, least, keep):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"pairs": 3}, {"hot_entries": 2}])
+@pytest.mark.parametrize("settings", [{}, {"hot_entries": 2}])
 def test_repeated_strings(spark, settings):
     ship(spark)
     rng = random.Random(6)
