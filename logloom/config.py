@@ -25,7 +25,8 @@ def grouper_name(name: str, strict: bool = True) -> str:
 
 @dataclass(frozen=True)
 class TemplaterConfig:
-    """``finer_keys`` also splits token counts by first token where that changes no result."""
+    """``finer_keys`` also splits token counts by first token where that changes no result, which takes a look
+    at all lines first; None does so where windows are fewer than the tasks that run at once."""
 
     grouper: str = "drain"
     depth: int = 4
@@ -35,7 +36,7 @@ class TemplaterConfig:
     min_static_chars: int = 3
     sample_cap: int = 3
     slot_sample_cap: int = 6
-    finer_keys: bool = True
+    finer_keys: bool | None = None
 
     def __post_init__(self) -> None:
         if self.depth < 3:

@@ -53,16 +53,25 @@ def escape(text: Column) -> Column:
 
 def pattern_of(template: Column, anchor: Column, param: str = PARAM) -> Column:
     """Anchored pattern with a lazy capture for each wildcard and commas dropped; null without anchor."""
-    parts = F.split(F.replace(template, F.lit(","), F.lit("")), r"<\*>", -1)
-    return F.when(anchor, F.concat(F.lit(r"(?d)\A"), F.array_join(F.transform(parts, escape), "(.*?)"), F.lit(r"\z")))
+    return F.when(anchor, F.concat(F.lit(r"(?d)\A"), F.array_join(F.transform(literals(template), escape), "(.*?)"), F.lit(r"\z")))
+
+
+def literals(template: Column) -> Column:
+    """What stands around the wildcards of a template, without commas: one part more than wildcards."""
+    return F.split(F.replace(template, F.lit(","), F.lit("")), r"<\*>", -1)
 
 
 def capture(template: Column, line: Column, anchor: Column) -> Column:
     """What stands at the wildcards of a line (both without commas, the line trimmed): array, or null if
-    the line doesn't match. Every inner literal is taken at its earliest place and the last one as the
-    end, which gives the lazy pattern's captures in linear time; only where a line break is in play,
-    which a capture can't cross, the pattern itself decides."""
-    parts = F.split(F.replace(template, F.lit(","), F.lit("")), r"<\*>", -1)
+    the line doesn't match."""
+    return capture_between(literals(template), line, anchor)
+
+
+def capture_between(parts: Column, line: Column, anchor: Column) -> Column:
+    """The same with the template's ``literals``. Every inner literal is taken at its earliest place and the
+    last one as the end, which gives the lazy pattern's captures in linear time; only where a line break is
+    in play, which a capture can't cross, the pattern itself decides. ``parts`` and ``line`` are used many
+    times, so they should be columns."""
     n = F.size(parts)
     first, last = F.get(parts, F.lit(0)), F.get(parts, n - 1)
     start = F.struct((F.length(first) + 1).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<string>").alias("caps"))
@@ -80,8 +89,13 @@ def capture(template: Column, line: Column, anchor: Column) -> Column:
 
     scan = F.aggregate(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), start, step, finish)
     plain = F.when(n == 1, F.when(line == first, F.array().cast("array<string>"))).otherwise(scan)
-    pattern = pattern_of(template, F.lit(True))
+    pattern = F.concat(F.lit(r"(?d)\A"), F.array_join(F.transform(parts, escape), "(.*?)"), F.lit(r"\z"))
     groups = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.call_function("regexp_extract", line, pattern, i))
     exact = F.when(F.call_function("rlike", line, pattern), F.when(n == 1, F.array().cast("array<string>")).otherwise(groups))
-    breaks = F.contains(line, F.lit("\n")) | F.contains(template, F.lit("\n"))
+    breaks = F.contains(line, F.lit("\n")) | F.contains(F.array_join(parts, ""), F.lit("\n"))
     return F.when(anchor, F.when(breaks, exact).otherwise(plain))
+
+
+def matches(template: Column, line: Column, anchor: Column) -> Column:
+    """Whether a line (commas and outer white space aside) is an instance of a template."""
+    return capture(template, line, anchor).isNotNull()

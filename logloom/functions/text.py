@@ -102,9 +102,10 @@ def is_punct(token: Column) -> Column:
 
 
 def is_compact(line: Column) -> Column:
-    """At most one word, six or more lexical tokens, two or more of them punctuation."""
+    """At most one word, six or more lexical tokens, two or more of them punctuation. The gap between two
+    words is looked for first, so that few lines are cut into lexical tokens."""
     tokens = lex(line)
-    return (F.size(words(line)) <= 1) & (F.size(tokens) >= 6) & (F.size(F.filter(tokens, is_punct)) >= 2)
+    return ~line.rlike(rf"[^{WS}][{WS}]+[^{WS}]") & (F.size(tokens) >= 6) & (F.size(F.filter(tokens, is_punct)) >= 2)
 
 
 def drain_tokens(line: Column, mode: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
+import regex
+
 from logloom.config import PARAM
 
 CREATED, CHANGED, NONE = "cluster_created", "cluster_template_changed", "none"
@@ -186,15 +188,53 @@ class Drain:
         return sum(c.size for c in self.clusters.values())
 
 
+class Postings:
+    """Which templates have a token at a position: templates that agree with a line in ``least`` of some
+    positions agree in one of the ``len(positions) - least + 1`` with the fewest templates."""
+
+    def __init__(self) -> None:
+        self.at: dict[tuple[int, str], set[int]] = {}
+
+    def put(self, i: int, tokens: list[str | None], skip: str | None = None) -> None:
+        for p, t in enumerate(tokens):
+            if t != skip:
+                self.at.setdefault((p, t), set()).add(i)
+
+    def drop(self, i: int, p: int, token: str) -> None:
+        self.at[p, token].discard(i)
+
+    def candidates(self, spots: list[tuple[int, str]], least: int) -> list[int]:
+        lists = sorted((x for s in spots if (x := self.at.get(s))), key=len)
+        # positions that no template has can't be among those that agree
+        few = lists[: max(len(lists) - least + 1, 0)] if least > 0 else lists
+        return sorted(set().union(*few))
+
+
+def least_hits(n: int, share: float) -> int:
+    """Smallest h with h / n >= share."""
+    return next((h for h in range(n + 1) if h / n >= share), n + 1) if n else 0
+
+
 class FullSearch:
     """Every cluster of the same length is a candidate: most similar, then most wildcards, then earliest."""
 
     def __init__(self, sim_th: float = 0.4, param: str = PARAM):
         self.sim_th, self.param = sim_th, param
         self.clusters: list[Cluster] = []
+        self.postings: dict[int, Postings] = {}
+        self.least: dict[int, int] = {}
         #: Lines and their clusters since the last change.
         self.seen: dict[str, Cluster] = {}
 
+    def _candidates(self, tokens: list[str]) -> list[Cluster]:
+        n = len(tokens)
+        least = self.least.setdefault(n, least_hits(n, self.sim_th))
+        if least <= 0:
+            return [c for c in self.clusters if len(c.tokens) == n]
+        spots = [(p, t) for p, t in enumerate(tokens) if t != self.param]
+        found = self.postings.setdefault(n, Postings()).candidates(spots, least)
+        return [self.clusters[i - 1] for i in found]
+
     def add_joined(self, text: str) -> tuple[Cluster, str]:
         known = self.seen.get(text)
         if known is not None:
@@ -202,14 +242,20 @@ class FullSearch:
             return known, NONE
         tokens = tokens_of(text)
         best, best_key = None, (-1.0, -1)
-        for c in self.clusters:
-            if len(c.tokens) == len(tokens) and (score := similarity(c.tokens, tokens, False, self.param)) > best_key:
+        for c in self._candidates(tokens):
+            if (score := similarity(c.tokens, tokens, False, self.param)) > best_key:
                 best, best_key = c, score
+        postings = self.postings.setdefault(len(tokens), Postings())
         if best is None or best_key[0] < self.sim_th:
             best, update = Cluster(len(self.clusters) + 1, tokens), CREATED
             self.clusters.append(best)
+            postings.put(best.id, tokens, self.param)
         else:
+            before = best.tokens
             update = best.become(merged(best.tokens, tokens, self.param))
+            for p, (t, x) in enumerate(zip(before, best.tokens)):
+                if t != x:
+                    postings.drop(best.id, p, t)
             best.size += 1
         if update == NONE:
             self.seen[text] = best
@@ -218,39 +264,69 @@ class FullSearch:
         return best, update
 
 
+_LETTER = regex.compile(r"[\p{Alphabetic}\p{N}]")
+
+
+def letters_in(token: str) -> int:
+    """Characters that are letters or numbers."""
+    return len(token) if token.isascii() and token.isalnum() else len(_LETTER.findall(token))
+
+
 class Statistical:
-    """Groups by shared anchors, weighted by how rare they are in the window. ``weights`` of a line are 0
-    where a token is no anchor. Lines without an anchor stay alone."""
+    """Groups of token lists of one length by shared anchors, weighted by how rare they are in the window.
+    ``weights`` holds the anchors. Lines without an anchor stay alone, and as no line can join them nothing
+    is kept of them."""
 
     def __init__(self, sim_th: float = 0.65, shared: int = 2, remaining: int = 2, static_chars: int = 3):
         self.sim_th, self.shared, self.remaining, self.static_chars = sim_th, shared, remaining, static_chars
-        self.templates: list[list[str | None]] = []
+        self.templates: dict[int, list[str | None]] = {}
+        self.postings, self.last = Postings(), -1
+        #: Lines and their clusters since the last change.
+        self.seen: dict[str, int] = {}
 
-    def add(self, tokens: list[str], weights: list[float], chars: list[int]) -> int:
-        """Index of the line's cluster."""
-        anchors = sum(w > 0 for w in weights)
-        needed = min(self.remaining, max(anchors, 1))
+    def add_joined(self, text: str, weights: dict[str, float]) -> int:
+        """The same for tokens joined by blanks."""
+        known = self.seen.get(text)
+        return known if known is not None else self.add(tokens_of(text), weights, text)
+
+    def add(self, tokens: list[str], weights: dict[str, float], text: str | None = None) -> int:
+        """Number of the line's cluster."""
+        spots = [(p, t) for p, t in enumerate(tokens) if t in weights]
+        anchors = len(spots)
+        if not anchors:
+            self.last += 1
+            return self.last
+        needed = min(self.remaining, anchors)
         best, best_key = None, None
-        if anchors:
-            for i, template in enumerate(self.templates):
-                if len(template) != len(tokens):
-                    continue
-                weight, hits, letters = 0.0, 0, 0
-                for t, x, w, c in zip(template, tokens, weights, chars):
-                    if w > 0 and t == x:
-                        weight += w
-                        hits += 1
-                        letters += c
-                # the anchors that stay static after merging are the ones that agree
-                if hits < min(self.shared, needed) or hits / anchors < self.sim_th or hits < needed or letters < self.static_chars:
-                    continue
-                key = (weight, hits / anchors, hits)
-                if best_key is None or key > best_key:
-                    best, best_key = i, key
+        least = max(needed, min(self.shared, needed), least_hits(anchors, self.sim_th))
+        for i in self.postings.candidates(spots, least):
+            template = self.templates[i]
+            same = [p for p, t in spots if template[p] == t]
+            # the anchors that stay static after merging are the ones that agree
+            if len(same) < least or sum(letters_in(tokens[p]) for p in same) < self.static_chars:
+                continue
+            weight = 0.0
+            for p in same:
+                weight += weights[tokens[p]]
+            key = (weight, len(same) / anchors, len(same))
+            if best_key is None or key > best_key:
+                best, best_key = i, key
+        changed = best is None
         if best is None:
-            self.templates.append(list(tokens))
-            return len(self.templates) - 1
-        self.templates[best] = [t if t == x else None for t, x in zip(self.templates[best], tokens)]
+            self.last += 1
+            best = self.last
+            self.templates[best] = list(tokens)
+            self.postings.put(best, tokens)
+        else:
+            template = self.templates[best]
+            for p, t in enumerate(template):
+                if t is not None and t != tokens[p]:
+                    self.postings.drop(best, p, t)
+                    template[p], changed = None, True
+        if changed:
+            self.seen.clear()
+        elif text is not None:
+            self.seen[text] = best
         return best
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from logloom.config import PARAM, TemplaterConfig, grouper_name
 from logloom.functions import text
 from logloom.operators.fold import Drain, FullSearch, Statistical
-from logloom.scratch import materialize
+from logloom.scratch import materialize, parallelism, spread
 from logloom.ship import ship
 
 MODES = {"drain": "compact", "drain-stock": "whitespace", "drain-delimited": "delimited", "drain-fullsearch": "whitespace"}
@@ -36,17 +36,25 @@ def _keyed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool,
             last = now
 
 
+def is_finer(lines: DataFrame, cfg: TemplaterConfig) -> bool:
+    """Whether token counts are split by first token: as configured, else where windows are few."""
+    if cfg.finer_keys is not None or cfg.depth < 4:
+        return bool(cfg.finer_keys) and cfg.depth >= 4
+    tasks = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.select("window_id").distinct().limit(tasks).count() < tasks
+
+
 def split_keys(lines: DataFrame, cfg: TemplaterConfig) -> DataFrame:
     """Adds ``sub``: the first token where (window, token count) can be split by it without changing a
     group (no digit, no literal wildcard, fewer first tokens than children), else empty."""
-    if not cfg.finer_keys or cfg.depth < 4:
-        return lines.withColumn("sub", F.lit(""))
     first = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
     lines = lines.withColumn("first", first)
     plain = F.max((F.col("first").rlike("[0-9]") | (F.col("first") == PARAM)).cast("int")) == 0
     firsts = lines.groupBy("window_id", "n_tokens", "first").agg(F.lit(1).alias("one"))
-    safe = firsts.groupBy("window_id", "n_tokens").agg((plain & (F.count("one") <= cfg.max_children - 1)).alias("safe"))
-    safe = safe.where("safe and n_tokens >= 2").select(F.col("window_id").alias("w_"), F.col("n_tokens").alias("n_"))
+    # a filter on n_tokens itself would go down to the scan, where all tokens are made once more for it
+    long = F.max("n_tokens") >= 2
+    safe = firsts.groupBy("window_id", "n_tokens").agg((plain & long & (F.count("one") <= cfg.max_children - 1)).alias("safe"))
+    safe = safe.where("safe").select(F.col("window_id").alias("w_"), F.col("n_tokens").alias("n_"))
     joined = lines.join(safe, F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("n_tokens") == F.col("n_")), "left")
     return joined.withColumn("sub", F.when(F.col("n_").isNotNull(), F.col("first")).otherwise("")).drop("first", "w_", "n_")
 
@@ -73,7 +81,9 @@ def _fold(lines: DataFrame, keys: list[str], columns: list[str], make: Callable,
         if held:
             yield batch_of(held)
 
-    return lines.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *(order or ["line_index"])).mapInArrow(run, schema)
+    # a number of its own: rows are few bytes but much work, so partitions aren't joined by their size
+    dealt = lines.select(*keys, *columns).repartition(2 * parallelism(lines.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys, *(order or ["line_index"])).mapInArrow(run, schema)
 
 
 def lines_of(df: DataFrame, message: str | Column = "message", index: str | Column = "line_index", window: str | Column | None = None) -> DataFrame:
@@ -84,52 +94,60 @@ def lines_of(df: DataFrame, message: str | Column = "message", index: str | Colu
     return df.select(window_id.alias("window_id"), as_col(index).cast("long").alias("line_index"), F.coalesce(as_col(message), F.lit("")).alias("message"))
 
 
-def finalize(clustered: DataFrame) -> DataFrame:
-    """Groups numbered from 0 in the order of their first lines: (window_id, line_index, group_id). The
-    fold's rows are written first, so that it runs once; the numbers come from a row per group."""
-    clustered = materialize(clustered, "clusters")
-    firsts = clustered.where("first_index = line_index").select("window_id", "first_index")
-    numbered = firsts.withColumn("group_id", F.row_number().over(Window.partitionBy("window_id").orderBy("first_index")).cast("long") - 1)
-    numbered = numbered.select(F.col("window_id").alias("w_"), F.col("first_index").alias("f_"), "group_id")
-    same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("first_index") == F.col("f_"))
-    return clustered.join(numbered, same).select("window_id", "line_index", "group_id")
+def numbered(firsts: DataFrame, name: str, start: int) -> DataFrame:
+    """Rows (window_id, first_index), one a group, with their number in the window in order of first lines."""
+    order = Window.partitionBy("window_id").orderBy("first_index")
+    return firsts.withColumn(name, F.row_number().over(order).cast("long") + (start - 1))
+
 
+def with_numbers(rows: DataFrame, firsts: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """``rows`` with the number of their group, found by window_id and first_index."""
+    found = numbered(firsts.select("window_id", "first_index"), name, start).withColumnsRenamed({"window_id": "w__", "first_index": "f__"})
+    return rows.join(found, F.col("window_id").eqNullSafe(F.col("w__")) & (F.col("first_index") == F.col("f__"))).drop("w__", "f__")
 
-def _clustered(lines: DataFrame, keys: list[str], columns: list[str], make: Callable) -> DataFrame:
-    """Output of a fold whose step gives (cluster number, row): the first line of each row's cluster."""
+
+def _clustered(lines: DataFrame, keys: list[str], columns: list[str], make: Callable, carry: tuple[str, ...]) -> DataFrame:
+    """Output of a fold whose step gives the cluster number of a row: each row's window, index, the first
+    line of its cluster, and the columns ``carry``."""
     kind = lines.schema["window_id"].dataType.simpleString()
+    at, kinds = len(keys) + len(columns), "".join(f", {c} {lines.schema[c].dataType.simpleString()}" for c in carry)
 
     def stepper() -> Callable:
         add, firsts = make(), {}
 
         def step(row: tuple) -> tuple:
             index = row[len(keys)]
-            return row[0], index, firsts.setdefault(add(row), index)
+            return row[0], index, firsts.setdefault(add(row), index), *row[at:]
 
         return step
 
-    return _fold(lines, keys, columns, stepper, f"window_id {kind}, line_index long, first_index long")
+    return _fold(lines, keys, [*columns, *carry], stepper, f"window_id {kind}, line_index long, first_index long{kinds}")
+
+
+def _tokens(lines: DataFrame, tokens: Column, carry: tuple[str, ...]) -> DataFrame:
+    dealt = spread(lines, "line_index").select("window_id", "line_index", tokens.alias("tokens"), *carry)
+    return dealt.withColumn("n_tokens", F.size("tokens"))
 
 
-def tree_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str) -> DataFrame:
-    tokens = lines.select("window_id", "line_index", text.drain_tokens(F.col("message"), mode).alias("tokens"))
-    keyed = split_keys(tokens.withColumn("n_tokens", F.size("tokens")), cfg)
+def tree_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    tokens = _tokens(lines, text.drain_tokens(F.col("message"), mode), carry)
+    keyed = split_keys(tokens, cfg) if is_finer(lines, cfg) else tokens.withColumn("sub", F.lit(""))
 
     def make() -> Callable:
         drain = Drain(cfg.depth, cfg.sim_th, cfg.max_children)
         return lambda row: drain.add_joined(row[4])[0].id
 
-    return _clustered(keyed.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens", "sub"], ["line_index", "tokens"], make)
+    return _clustered(keyed.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens", "sub"], ["line_index", "tokens"], make, carry)
 
 
-def full_search_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str = "whitespace") -> DataFrame:
-    tokens = lines.select("window_id", "line_index", text.drain_tokens(F.col("message"), mode).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+def full_search_groups(lines: DataFrame, cfg: TemplaterConfig, mode: str = "whitespace", carry: tuple[str, ...] = ()) -> DataFrame:
+    tokens = _tokens(lines, text.drain_tokens(F.col("message"), mode), carry)
 
     def make() -> Callable:
         search = FullSearch(cfg.sim_th)
         return lambda row: search.add_joined(row[3])[0].id
 
-    return _clustered(tokens.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens"], ["line_index", "tokens"], make)
+    return _clustered(tokens.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens"], ["line_index", "tokens"], make, carry)
 
 
 def idf(lines: DataFrame) -> DataFrame:
@@ -141,32 +159,52 @@ def idf(lines: DataFrame) -> DataFrame:
     return joined.select("window_id", "token", "df", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("weight"))
 
 
-def statistical_groups(lines: DataFrame, cfg: TemplaterConfig) -> DataFrame:
-    lexed = lines.select("window_id", "line_index", text.lex(F.col("message")).alias("tokens"))
-    table = idf(lines).select(F.col("window_id").alias("w_"), F.col("token").alias("t_"), "weight")
-    each = lexed.select("window_id", "line_index", F.posexplode_outer("tokens").alias("pos", "token"))
-    each = each.withColumn("anchor", F.coalesce(text.is_anchor(F.col("token")), F.lit(False)))
-    letters = F.length(F.regexp_replace("token", r"[^\p{IsAlphabetic}\p{N}]", ""))
-    same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("token") == F.col("t_")) & F.col("anchor")
-    weighed = each.join(table, same, "left").select("window_id", "line_index", "pos", "token", F.when(F.col("anchor"), F.col("weight")).otherwise(0.0).alias("weight"), F.when(F.col("anchor"), letters).otherwise(0).alias("letters"))
-    rows = weighed.groupBy("window_id", "line_index").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "weight", "letters")))).alias("t"))
-    rows = rows.select("window_id", F.size("t").alias("n_tokens"), "line_index", F.col("t.token").alias("tokens"), F.col("t.weight").alias("weights"), F.col("t.letters").alias("letters"))
+#: Anchors of all windows up to which their weights go to every task; more are joined token by token.
+MAPPED = 100_000
+
+
+def statistical_groups(lines: DataFrame, cfg: TemplaterConfig, carry: tuple[str, ...] = (), mapped: int = MAPPED) -> DataFrame:
+    lines = spread(lines, "line_index")
+    lexed = lines.select("window_id", "line_index", text.lex(F.col("message")).alias("tokens"), *carry).withColumn("n_tokens", F.size("tokens"))
+    table = materialize(idf(lines).select("window_id", "token", "weight"), "idf")
+    few = table.limit(mapped + 1).collect()
+    columns, weigh = ["line_index", "tokens"], {}
+    if len(few) <= mapped:
+        for r in few:
+            weigh.setdefault(r.window_id, {})[r.token] = r.weight
+    else:
+        each = lexed.select("window_id", "line_index", F.explode(F.array_distinct("tokens")).alias("token"))
+        named = table.withColumnsRenamed({"window_id": "w__", "token": "t__"})
+        each = each.join(named, F.col("window_id").eqNullSafe(F.col("w__")) & (F.col("token") == F.col("t__")))
+        lists = each.groupBy(F.col("window_id").alias("w__"), F.col("line_index").alias("l__")).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
+        lexed = lexed.join(lists, F.col("window_id").eqNullSafe(F.col("w__")) & (F.col("line_index") == F.col("l__")), "left").drop("w__", "l__")
+        columns.append("weights")
 
     def make() -> Callable:
         state = Statistical(static_chars=TemplaterConfig.min_static_chars)
-        return lambda row: state.add(row[3], row[4], row[5])
+        if len(columns) > 2:
+            return lambda row: state.add_joined(row[3], dict(row[4] or ()))
+        return lambda row: state.add_joined(row[3], weigh.get(row[0], {}))
 
-    return _clustered(rows, ["window_id", "n_tokens"], ["line_index", "tokens", "weights", "letters"], make)
+    return _clustered(lexed.withColumn("tokens", F.array_join("tokens", " ")), ["window_id", "n_tokens"], columns, make, carry)
 
 
-def group(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
-    """lines: window_id, line_index, message. Rows (window_id, line_index, group_id)."""
+def clustered(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """lines: window_id, line_index, message. Rows (window_id, line_index, first_index) and the columns
+    ``carry``, from one fold; first_index is the first line of the row's group."""
     name = grouper_name(cfg.grouper)
     if name == "statistical":
-        return finalize(statistical_groups(lines, cfg))
+        return statistical_groups(lines, cfg, carry)
     if name == "drain-fullsearch":
-        return finalize(full_search_groups(lines, cfg))
-    return finalize(tree_groups(lines, cfg, MODES[name]))
+        return full_search_groups(lines, cfg, carry=carry)
+    return tree_groups(lines, cfg, MODES[name], carry)
+
+
+def group(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
+    """lines: window_id, line_index, message. Rows (window_id, line_index, group_id), groups numbered from 0
+    in the order of their first lines. The fold's rows are written first, so that it runs once."""
+    rows = materialize(clustered(lines, cfg), "clusters")
+    return with_numbers(rows, rows.where("first_index = line_index"), "group_id").select("window_id", "line_index", "group_id")
 
 
 def online(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), masked: bool = True, max_clusters: int | None = None, param: str = PARAM, delimiters: tuple[str, ...] = ()) -> DataFrame:
@@ -174,7 +212,7 @@ def online(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), masked: b
     first line), cluster_size, template, update_type. With ``max_clusters`` recency spans all token
     counts, so a whole window is one key."""
     line = text.mask(F.col("message")) if masked else F.col("message")
-    tokens = lines.select("window_id", "line_index", text.content_tokens(line, delimiters).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    tokens = _tokens(lines, text.content_tokens(line, delimiters), ())
     kind = lines.schema["window_id"].dataType.simpleString()
     keys = ["window_id"] if max_clusters is not None else ["window_id", "n_tokens"]
     width = len(keys)
@@ -190,9 +228,7 @@ def online(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), masked: b
 
     schema = f"window_id {kind}, line_index long, first_index long, cluster_size long, template string, update_type string"
     out = materialize(_fold(tokens.withColumn("tokens", F.array_join("tokens", " ")), keys, ["line_index", "tokens"], make, schema), "events")
-    firsts = out.where("update_type = 'cluster_created'").select(F.col("window_id").alias("w_"), F.col("first_index").alias("f_"), F.row_number().over(Window.partitionBy("window_id").orderBy("first_index")).cast("long").alias("cluster_id"))
-    same = F.col("window_id").eqNullSafe(F.col("w_")) & (F.col("first_index") == F.col("f_"))
-    return out.join(firsts, same).select("window_id", "line_index", "cluster_id", "cluster_size", "template", "update_type")
+    return with_numbers(out, out.where("update_type = 'cluster_created'"), "cluster_id", 1).select("window_id", "line_index", "cluster_id", "cluster_size", "template", "update_type")
 
 
 def match(trained: DataFrame, queries: DataFrame, cfg: TemplaterConfig = TemplaterConfig(), strategy: str = "never", masked: bool = True) -> DataFrame:

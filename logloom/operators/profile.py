@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from logloom.config import PARAM, TemplaterConfig
 from logloom.functions import sequences, text
 from logloom.operators.fold import pair_template
-from logloom.scratch import materialize
+from logloom.scratch import materialize, spread
 
 KEY = ["window_id", "group_id"]
 
@@ -50,29 +50,52 @@ def static_positions(tokens: DataFrame) -> DataFrame:
     return spots.groupBy(*KEY).agg(F.when(F.min("low") == F.max("high"), static).alias("static"))
 
 
+def static_against(tokens: DataFrame, first: DataFrame) -> DataFrame:
+    """The same as ``static_positions`` from a member of each group: ``first`` has its tokens. Lines are
+    compared with it and leave the positions that differ as a word of ones and zeros; of a group's few
+    different words the positions are brought together, so tokens themselves never move."""
+    both = _same(tokens, first.select(*KEY, F.col("tokens").alias("t0")), KEY)
+    bits = F.array_join(F.zip_with("tokens", "t0", lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    words = both.select(*KEY, F.when(F.size("tokens") == F.size("t0"), bits).alias("bits")).groupBy(*KEY, "bits").agg(F.lit(1).alias("one"))
+    each = words.select(*KEY, "bits", F.posexplode_outer(F.split("bits", "")).alias("pos", "bit"))
+    spots = each.groupBy(*KEY, "pos").agg(F.min("bit").alias("bit"), F.count_if(F.col("bits").isNull()).alias("ragged"))
+    # an empty word splits into one empty bit
+    known = F.filter(F.array_sort(F.collect_list(F.when(F.col("bit") != "", F.struct("pos", "bit")))), lambda x: x.isNotNull())
+    return spots.groupBy(*KEY).agg(F.when(F.sum("ragged") == 0, F.transform(known, lambda x: x["bit"] == "1")).alias("static"))
+
+
 @F.pandas_udf(StringType())
 def _pair(a: pd.Series, b: pd.Series) -> pd.Series:
     # rows of other branches may pass through before their filter, hence the nulls
     return pd.Series([None if x is None or y is None else pair_template(list(x), list(y)) for x, y in zip(a, b)], dtype=object)
 
 
-def templates(lines: DataFrame) -> DataFrame:
+def members(lines: DataFrame, n: int) -> DataFrame:
+    """(window_id, group_id, members): the first n lines of each group with their metadata, in order."""
+    optional = lambda c: (F.col(c) if c in lines.columns else F.lit(None)).cast("string").alias(c)
+    sample = F.struct(F.col("line_index").alias("index"), F.col("message").alias("text"), optional("level"), optional("timestamp"))
+    return first_members(lines, n).groupBy(*KEY).agg(F.array_sort(F.collect_list(sample)).alias("members"))
+
+
+def templates(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(window_id, group_id, template): lexical where members have equally many lexical tokens, else by
-    words where they have equally many of those, else from the first two members' common words."""
-    sizes = group_sizes(lines)
+    words where they have equally many of those, else from the first two members' common words.
+    ``groups``: the groups with their count and members, if they are known already."""
+    if groups is None:
+        groups = _same(group_sizes(lines), members(lines, 2), KEY)
+    first = groups.select(*KEY, "count", F.col("members")[0]["text"].alias("m0"), F.get("members", F.lit(1))["text"].alias("m1"))
     # a line alone is its own template, and its tokens needn't be compared
-    alone = _same(lines.select(*KEY, "message"), sizes.where(F.col("count") == 1).select(*KEY), KEY).select(*KEY, F.col("message").alias("template"))
-    lines = _same(lines.select(*KEY, "line_index", "message"), sizes.where(F.col("count") > 1).select(*KEY), KEY)
-    lexical = static_positions(lines.select(*KEY, text.lex(F.col("message")).alias("tokens")))
-    first = first_members(lines.select(*KEY, "line_index", "message"), 2)
-    first = first.groupBy(*KEY).agg(F.max(F.when(F.col("rank") == 1, F.col("message"))).alias("m0"), F.max(F.when(F.col("rank") == 2, F.col("message"))).alias("m1"))
-    found = _same(first, lexical, KEY)
+    alone = first.where(F.col("count") == 1).select(*KEY, F.col("m0").alias("template"))
+    first = first.where(F.col("count") > 1).drop("count")
+    lexical = static_against(lines.select(*KEY, text.lex(F.col("message")).alias("tokens")), first.select(*KEY, text.lex(F.col("m0")).alias("tokens")))
+    found = materialize(_same(first, lexical, KEY), "static")
     # columns first: an expression inside a lambda is evaluated for every element
     lexed = found.where("static is not null").withColumn("tokens", text.lex(F.col("m0"))).withColumn("gaps", text.lex_gaps(F.col("m0")))
     plain = lexed.select(*KEY, sequences.lexical_template(F.col("tokens"), F.col("gaps"), F.col("static")).alias("template"))
     ragged = found.where("static is null").select(*KEY, "m0", "m1")
-    members = _same(lines.select(*KEY, "message"), ragged.select(*KEY), KEY)
-    by_word = static_positions(members.select(*KEY, text.words(F.col("message")).alias("tokens")))
+    if not ragged.head(1):
+        return alone.union(plain)
+    by_word = static_against(lines.select(*KEY, text.words(F.col("message")).alias("tokens")), ragged.select(*KEY, text.words(F.col("m0")).alias("tokens")))
     rest = _same(ragged, by_word, KEY)
     w0, w1 = text.words(F.col("m0")), text.words(F.col("m1"))
     worded = rest.where("static is not null").select(*KEY, sequences.positional_template(w0, F.col("static")).alias("template"))
@@ -83,12 +106,13 @@ def templates(lines: DataFrame) -> DataFrame:
 def captures(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(window_id, group_id, line_index, slot, value): what each line has at the wildcards of its template;
     value is null where the line doesn't match. found: window_id, group_id, template."""
-    joined = _same(lines.select(*KEY, "line_index", "message"), found.where(F.contains("template", F.lit(PARAM))), KEY)
+    # what belongs to a template is made once for a group, and the line once, below the join
+    known = found.where(F.contains("template", F.lit(PARAM))).select(*KEY, sequences.literals(F.col("template")).alias("parts"), text.has_static_anchor(F.col("template")).alias("anchor"))
     line = text.trim_ws(F.replace(F.col("message"), F.lit(","), F.lit("")))
-    slots = F.size(F.split("template", r"<\*>", -1)) - 1
-    got = joined.select(*KEY, "line_index", sequences.capture(F.col("template"), line, text.has_static_anchor(F.col("template"))).alias("caps"), slots.alias("n"))
-    values = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("caps", i))
-    return got.select(*KEY, "line_index", F.posexplode(values).alias("slot", "value"))
+    joined = _same(lines.select(*KEY, "line_index", line.alias("line")), known, KEY)
+    none = F.array_repeat(F.lit(None).cast("string"), F.size("parts") - 1)
+    values = F.coalesce(sequences.capture_between(F.col("parts"), F.col("line"), F.col("anchor")), none)
+    return joined.select(*KEY, "line_index", F.posexplode(values).alias("slot", "value"))
 
 
 def slot_summaries(captured: DataFrame, cap: int) -> DataFrame:
@@ -96,7 +120,8 @@ def slot_summaries(captured: DataFrame, cap: int) -> DataFrame:
     maximum and exact median of all; unit of the first value; distinct values, the first ``cap`` of them."""
     slot = [*KEY, "slot"]
     values = captured.groupBy(*slot, "value").agg(F.count(F.lit(1)).alias("n"), F.min("line_index").alias("at"))
-    values = values.withColumn("number", text.first_number(F.col("value")))
+    # three aggregations read the distinct values, and the captures below them are the dear part
+    values = materialize(values.withColumn("number", text.first_number(F.col("value"))), "values")
     some = F.col("value").isNotNull()
     sums = values.groupBy(*slot).agg(
         F.sum(F.when(some, F.col("n")).otherwise(0)).alias("present"),
@@ -131,26 +156,22 @@ def slot_summaries(captured: DataFrame, cap: int) -> DataFrame:
 
 def raw_samples(lines: DataFrame, cap: int) -> DataFrame:
     """(window_id, group_id, samples): the first ``cap`` lines with their metadata."""
-    optional = lambda c: (F.col(c) if c in lines.columns else F.lit(None)).cast("string").alias(c)
-    firsts = first_members(lines, cap)
-    sample = F.struct(F.col("line_index").alias("index"), F.col("message").alias("text"), optional("level"), optional("timestamp"))
-    return firsts.groupBy(*KEY).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    return members(lines, cap).withColumnRenamed("members", "samples")
 
 
 def template_groups(lines: DataFrame, cfg: TemplaterConfig = TemplaterConfig()) -> DataFrame:
     """lines: window_id, line_index, group_id, message, perhaps level and timestamp; groups as the caller
     likes. One row per group: window_id, id, first_index, count, template (clipped), samples, slots."""
-    sizes = group_sizes(lines)
-    found = materialize(templates(lines), "templates")
+    lines = spread(lines, "line_index")
+    groups = materialize(_same(group_sizes(lines), members(lines, max(cfg.sample_cap, 2)), KEY), "groups")
+    found = materialize(templates(lines, groups), "templates")
     slots = slot_summaries(captures(lines, found), cfg.slot_sample_cap)
     listed = slots.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "summary"))), lambda x: x["summary"]).alias("slots"))
-    joined = _same(sizes, found, KEY)
-    for part in (raw_samples(lines, cfg.sample_cap), listed):
-        named = part.withColumnsRenamed({c: f"{c}__" for c in KEY})
-        joined = joined.join(named, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in KEY], "left").drop(*(f"{c}__" for c in KEY))
-    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    listed = listed.withColumnsRenamed({c: f"{c}__" for c in KEY})
+    joined = _same(groups, found, KEY).join(listed, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in KEY], "left")
+    none = F.array().cast(listed.schema["slots"].dataType)
     return joined.select(
-        "window_id", F.col("group_id").alias("id"), "first_index", "count", text.clip(F.col("template"), cfg.template_clip).alias("template"), empty("samples", joined), empty("slots", joined)
+        "window_id", F.col("group_id").alias("id"), "first_index", "count", text.clip(F.col("template"), cfg.template_clip).alias("template"), F.slice("members", 1, cfg.sample_cap).alias("samples"), F.coalesce("slots", none).alias("slots")
     )
 
 

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or (local runs and tests, where it is unset) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,3 +37,15 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt out by the columns ``by`` if it comes in fewer partitions than tasks can run at once, as
+    a small file does: expressions that cost much more than moving a row then use every core. Inputs of
+    many partitions stay as they are."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *by) if df.rdd.getNumPartitions() < tasks else df

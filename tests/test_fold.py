@@ -101,7 +101,7 @@ def test_keys_are_exact():
 def test_statistical():
     s = Statistical()
     lex = lambda x: [t for t in x.split()]
-    add = lambda x: s.add(lex(x), [0.0 if t.isdigit() else 1.0 for t in lex(x)], [0 if t.isdigit() else len(t) for t in lex(x)])
+    add = lambda x: s.add_joined(x, {t: 1.0 for t in lex(x) if not t.isdigit()})
     assert [add(x) for x in ("file line 3 in foo", "file line 5 in foo", "other words 5 are here", "1 2", "1 2", "")] == [0, 0, 1, 2, 3, 4]
 
 
