@@ -6,17 +6,19 @@ tokens and variable parts differ; windows are user_id mod 8 and the order is eve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom import sources
+from logloom import sources, streaming
 from logloom.config import Limits, TemplaterConfig
 from logloom.functions import parse, sequences, text
 from logloom.operators import grouping, limits, metrics, profile
 from logloom.plans import api, render
+from logloom.scratch import shared_dir
 from logloom.ship import ship
 
 _K = "regexp_extract(props, '([0-9]+)', 1)"
@@ -34,6 +36,30 @@ MASKED = "regexp_replace(regexp_replace(regexp_replace(message, '\\d{1,3}\\.\\d{
 MASKED_WORDS = f"list_filter(string_split_regex({MASKED}, '\\s+'), lambda x: x <> '')"
 LEXED = "regexp_extract_all(message, '[A-Za-z0-9_-]+|[!-,./:-@\\[-^`{-~]')"
 
+_N = f"CAST({_K} AS INT)"
+COLOURS = ("red", "green", "blue", "black", "white", "brown", "pink", "grey")
+_COLOUR = f"CASE {_N} % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(COLOURS)) + " END"
+#: Sentences that the five groupers tell apart in five ways: compact JSON, delimiters inside words, first
+#: words that differ, lines without an anchor, and words that agree in one place of three or in two.
+MIXED = f"""CASE event_type
+ WHEN 'signup' THEN concat('{{"op":"', {_COLOUR}, '","user":', CAST(user_id AS STRING), '}}')
+ WHEN 'purchase' THEN concat('order placed ', CASE WHEN {_N} % 2 = 0 THEN 'a=b' ELSE 'a b' END, ' took ', {_K}, 'ms')
+ WHEN 'click' THEN concat(CASE WHEN {_N} % 2 = 0 THEN 'alpha' ELSE 'beta' END, ' button pressed on page now')
+ WHEN 'view' THEN concat(CAST(user_id AS STRING), ' -- ', {_K})
+ ELSE concat('fail ', CASE {_N} % 3 WHEN 0 THEN 'disk full' WHEN 1 THEN 'net down' ELSE 'disk slow' END) END"""
+#: What each grouper makes of them, per type: one group, or one of each value of an expression.
+_ERROR = "WHEN 'error' THEN concat('e', CAST(k % 3 = 1 AS VARCHAR))"
+_BY = {"s": "WHEN 'signup' THEN concat('s', CAST(k % 8 AS VARCHAR))", "p": "WHEN 'purchase' THEN concat('p', CAST(k % 2 AS VARCHAR))", "c": "WHEN 'click' THEN concat('c', CAST(k % 2 AS VARCHAR))", "v": "WHEN 'view' THEN concat('v', CAST(line_index AS VARCHAR))"}
+SPLITS = {"drain": "pc", "drain-stock": "spc", "drain-delimited": "c", "drain-fullsearch": "sp", "statistical": "pv"}
+
+
+def mixed_cte(grouper: str) -> str:
+    """SQL: lines, and f with the label of each line's group and the group's first line."""
+    label = f"CASE event_type {_ERROR} {' '.join(_BY[x] for x in SPLITS[grouper])} ELSE event_type END"
+    lines = f"WITH lines AS (SELECT user_id % 8 AS window_id, event_id AS line_index, event_type, user_id, {_N} AS k, {_COLOUR} AS colour, {MIXED.replace('STRING', 'VARCHAR')} AS message FROM events)"
+    return f"{lines}, l AS (SELECT *, {label} AS label FROM lines), f AS (SELECT *, min(line_index) OVER (PARTITION BY window_id, label) AS first_index FROM l) "
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -48,6 +74,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select((F.col("user_id") % 8).alias("window_id"), F.col("event_id").alias("line_index"), "event_type", "user_id", F.expr(_K).alias("k"), F.expr(MESSAGE).alias("message"))
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(window_id, line_index, event_type, k, message)."""
+    ship(spark)
+    events = table(spark, sf_dir, "events")
+    return events.select((F.col("user_id") % 8).alias("window_id"), F.col("event_id").alias("line_index"), "event_type", F.expr(_N).alias("k"), F.expr(MIXED).alias("message"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.body_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
 
@@ -152,7 +185,16 @@ def a3_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f17_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.templates(by_type(event_lines(spark, sf_dir)))
+    return profile.templates(_labelled(spark, sf_dir))
+
+
+def f21_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.lit("order placed a=b took <*>ms")
+    return mixed_lines(spark, sf_dir).select("line_index", sequences.matches(template, text.trim_ws(F.replace(F.col("message"), F.lit(","), F.lit(""))), text.has_static_anchor(template)).alias("matches"))
+
+
+def f27_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("text"))
 
 
 def f22_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,26 +218,24 @@ def a9_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grouped(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return grouping.group(event_lines(spark, sf_dir).select("window_id", "line_index", "message"), TemplaterConfig(grouper=name))
+        return grouping.group(mixed_lines(spark, sf_dir).select("window_id", "line_index", "message"), TemplaterConfig(grouper=name))
 
     return query
 
 
 def d1_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = grouping.online(event_lines(spark, sf_dir).select("window_id", "line_index", "message"))
-    return events.select("window_id", "line_index", "cluster_id", F.col("cluster_size").cast("long").alias("cluster_size"), (F.col("update_type") == "cluster_created").alias("created"))
+    events = grouping.online(mixed_lines(spark, sf_dir).select("window_id", "line_index", "message"))
+    return events.withColumn("cluster_size", F.col("cluster_size").cast("long"))
 
 
 def d5_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_lines(spark, sf_dir).select("window_id", "line_index", "message")
-    found = grouping.match(lines.where("line_index % 2 = 0"), lines.where("line_index % 2 = 1"), strategy="fallback", masked=False)
-    return found.select("window_id", "line_index", F.col("template").isNotNull().alias("matched"))
+    lines = mixed_lines(spark, sf_dir).select("window_id", "line_index", "message")
+    return grouping.match(lines.where("line_index % 2 = 0"), lines.where("line_index % 2 = 1"), strategy="fallback")
 
 
 def d5_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_lines(spark, sf_dir).where("event_type in ('view', 'purchase')")
     clusters = spark.sql("SELECT * FROM VALUES (1, array('GET', '<*>', 'by', 'user', '<*>')), (2, array('GET', '<*>', 'by', 'user', '8')), (3, array('order', 'placed', 'for', 'user', '9', 'total', '<*>')) AS t(cluster_id, tokens)")
-    return grouping.match_all(clusters, lines.select("line_index", text.words(F.col("message")).alias("tokens")))
+    return grouping.match_all(clusters, event_lines(spark, sf_dir).select("line_index", text.words(F.col("message")).alias("tokens")))
 
 
 def d8_online_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,16 +243,31 @@ def d8_online_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.totals(grouping.online(event_lines(spark, sf_dir).select("window_id", "line_index", "message")))
+    return grouping.totals(grouping.online(mixed_lines(spark, sf_dir).select("window_id", "line_index", "message")))
+
+
+def _mixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.template_logs(mixed_lines(spark, sf_dir).select("window_id", "line_index", "message"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed lines with groups of the caller: type, and parity of k for orders and clicks."""
+    lines = mixed_lines(spark, sf_dir)
+    kinds = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    half = F.when(F.col("event_type").isin("click", "purchase"), F.col("k") % 2).when(F.col("event_type") == "error", (F.col("k") % 3 == 1).cast("int")).otherwise(0)
+    return lines.select("window_id", "line_index", "event_type", "message", (F.array_position(kinds, F.col("event_type")) * 2 + half).alias("group_id"))
 
 
 def a12_template_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = api.template_logs(event_lines(spark, sf_dir).select("window_id", "line_index", "message"))
-    return profile.summary(groups)
+    return profile.summary(_mixed_groups(spark, sf_dir))
 
 
 def a13_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.group_lines(api.template_logs(event_lines(spark, sf_dir).select("window_id", "line_index", "message")))
+    return render.group_lines(_mixed_groups(spark, sf_dir))
+
+
+def k1_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render(_mixed_groups(spark, sf_dir))
 
 
 def a13_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +276,7 @@ def a13_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a14_groups_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.to_json(api.template_groups(by_type(event_lines(spark, sf_dir)).select("window_id", "line_index", "group_id", "message")))
+    return render.to_json(api.template_groups(_labelled(spark, sf_dir).drop("event_type")))
 
 
 def a15_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,20 +305,33 @@ def m1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("system", *(F.round(c, 9).alias(c) for c in ("ga", "fga", "purity")), "n_lines", "n_pred", "n_label")
 
 
+def m4_template_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _labelled(spark, sf_dir)
+    # labels are the templates of two types, and another text for the rest
+    label = F.when(F.col("event_type") == "click", F.concat(F.split("message", " ")[0], F.lit("  button pressed on page now "))).when(F.col("event_type") == "view", "<*>  -- <*>").otherwise(F.concat(F.lit("other "), F.col("group_id").cast("string")))
+    named = lines.withColumnRenamed("window_id", "system").withColumn("label", label)
+    found = metrics.quality(named, profile.templates(lines).withColumnRenamed("window_id", "system"))
+    return found.select("system", *(F.round(c, 9).alias(c) for c in ("ga", "fga", "fta", "purity")))
+
+
 def m7_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = m1_quality(spark, sf_dir).select(F.lit("arm").alias("arm"), "system", "purity")
-    return metrics.bootstrap(scores, "arm", "system", "purity")
+    return metrics.bootstrap(scores, "arm", "system", "purity").select("arm", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 def m9_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_lines(spark, sf_dir)
+    lines = mixed_lines(spark, sf_dir)
     grouped = api.with_groups(lines)
     events = grouping.online(lines.select("window_id", "line_index", "message"))
-    base = events.select(F.col("window_id"), "line_index", F.col("cluster_id").alias("group_id")).join(lines.select("line_index", "event_type"), "line_index")
-    arm = lambda df, name: metrics.quality(df.select(F.col("window_id").alias("system"), "group_id", F.col("event_type").alias("label"))).select(F.lit(name).alias("arm"), "system", "ga", "fga", "purity", "n_pred")
+    base = events.select("window_id", "line_index", F.col("cluster_id").alias("group_id")).join(lines.select("line_index", "event_type"), "line_index")
+    arm = lambda df, name: metrics.quality(df.select(F.col("window_id").alias("system"), "group_id", F.col("event_type").alias("label"))).select(F.lit(name).alias("arm"), "system", *(F.round(c, 9).alias(c) for c in ("ga", "fga", "purity")), "n_pred")
     return arm(grouped, "drain").union(arm(base, "online"))
 
 
+def m10_base_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.last_template(grouping.online(mixed_lines(spark, sf_dir).select("window_id", "line_index", "message")))
+
+
 def v1_v3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_index"), F.col("text").alias("message"))
     return limits.request_status(turns, "conv_id", Limits(lines=4, line_chars=1_000))
@@ -274,10 +342,55 @@ def w1_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("window_id").agg(F.count(F.lit(1)).alias("total")).join(profile.summary(api.template_logs(lines)).select("window_id", "original_count"), "window_id")
 
 
+def _streamed(spark: SparkSession, table_file: str, sf_dir: str, schema: str, query: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """All rows that a stateful query gives out over a table read as a stream until it has no more."""
+    base = f"{shared_dir(spark)}/logloom/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", table_file).parquet(sf_dir)
+    out = query(stream)
+
+    def put(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    # processing-time timeouts would go on asking for batches without data after the last row
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(out.schema).parquet(f"{base}/rows")
+
+
+def w3_session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    turns = lambda s: streaming.session_totals(s.select(F.col("conv_id").cast("string").alias("session_id")))
+    found = _streamed(spark, "conversations.parquet", sf_dir, "conv_id long, turn long, role string, text string", turns, "update")
+    return found.groupBy("session_id").agg(F.sum("ingested").alias("ingested"), F.max("total").alias("total"))
+
+
+def w7_online_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    lines = lambda s: s.select((F.col("user_id") % 8).cast("string").alias("session_id"), F.col("event_id").alias("line_index"), F.expr(MIXED).alias("message"))
+    found = _streamed(spark, "events.parquet", sf_dir, schema, lambda s: streaming.online_drain(lines(s)), "append")
+    return found.select(F.col("session_id").cast("long").alias("window_id"), "line_index", "cluster_size", "template", "update_type")
+
+
+def w5_session_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections of session windows that were ingested in two batches."""
+    lines = mixed_lines(spark, sf_dir).select(F.col("window_id").cast("string").alias("session_id"), "line_index", "message")
+    sessions = streaming.SessionTable(spark, f"{shared_dir(spark)}/logloom/sessions-{uuid.uuid4().hex}")
+    for n in (0, 1):
+        sessions.append(lines.where(F.col("line_index") % 2 == n), n)
+    return render.group_lines(sessions.templates()).withColumn("window_id", F.col("window_id").cast("long"))
+
+
 NAMED = (
     s1_text_lines, s2_ndjson, s4_body_format, s7_synthetic, p1_parse_line, p1_token_predicates, f2_mask, f3_f4_tokens, f6_lex, f8_f9_dispatch, f11_f12_f13_sequences, f18_f26_predicates,
     f26_anchor_counts, a1_idf, a2_sizes, a3_static, f17_templates, f22_captures, a4_a8_slots, a9_samples, d1_online, d5_match, d5_match_all, d8_online_lru, d9_totals, a12_template_logs,
-    a13_report, a13_documents, a14_groups_json, a15_compression, k3_k4_numbers, k5_k8_texts, m1_quality, m7_bootstrap, m9_arms, v1_v3_limits, w1_session_windows,
+    a13_report, k1_render, f21_matches, f27_normalize, m4_template_accuracy, a13_documents, a14_groups_json, a15_compression, k3_k4_numbers, k5_k8_texts, m1_quality, m7_bootstrap, m9_arms, m10_base_templates, v1_v3_limits, w1_session_windows,
+    w3_session_totals, w5_session_templates, w7_online_stream,
 )
 
 
@@ -288,13 +401,38 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
-    # every type is one group of its window: its masked sentence has a token count and a first word of its own
-    groups = LINES + ", f AS (SELECT *, min(line_index) OVER (PARTITION BY window_id, event_type) AS first_index FROM lines) SELECT window_id, line_index, dense_rank() OVER (PARTITION BY window_id ORDER BY first_index) - 1 AS group_id FROM f"
+    groups = "SELECT window_id, line_index, dense_rank() OVER (PARTITION BY window_id ORDER BY first_index) - 1 AS group_id FROM f"
+    show = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    vary = lambda x: f"CASE WHEN min({x}) <> max({x}) THEN '<*>' ELSE min({x}) END"
+    uid, ms = "CAST(user_id AS VARCHAR)", "CAST(k AS VARCHAR) || 'ms'"
+    # groups of the drain mode with template, samples, and their slots by hand: two for sign-ups and views (which
+    # have no anchor, so nothing is captured), one for orders and for one kind of error
+    profiles = f"""{mixed_cte("drain")}, r AS (SELECT *, row_number() OVER (PARTITION BY window_id, label ORDER BY line_index) AS r FROM f),
+        g AS (SELECT window_id, label, event_type, min(first_index) AS first_index, count(*) AS count,
+            CASE event_type WHEN 'signup' THEN '{{"op":"' || {vary("colour")} || '","user":' || {vary(uid)} || '}}' WHEN 'purchase' THEN CASE WHEN label = 'p0' THEN 'order placed a=b took ' ELSE 'order placed a b took ' END || {vary(ms)}
+            WHEN 'view' THEN {vary(uid)} || ' -- ' || {vary("CAST(k AS VARCHAR)")} WHEN 'click' THEN min(message) ELSE 'fail ' || {vary("split_part(message, ' ', 2)")} || ' ' || {vary("split_part(message, ' ', 3)")} END AS template FROM f GROUP BY 1, 2, 3),
+        c AS (SELECT window_id, label, line_index, 0 AS slot, CASE event_type WHEN 'signup' THEN colour WHEN 'purchase' THEN {ms} ELSE split_part(message, ' ', 3) END AS value FROM f WHERE event_type IN ('signup', 'purchase') OR label = 'efalse' UNION ALL SELECT window_id, label, line_index, 1, {uid} FROM f WHERE event_type = 'signup'),
+        d AS (SELECT window_id, label, slot, value, min(line_index) AS place, row_number() OVER (PARTITION BY window_id, label, slot ORDER BY min(line_index)) AS r FROM c GROUP BY 1, 2, 3, 4),
+        n AS (SELECT window_id, label, slot, TRY_CAST(regexp_extract(value, '[0-9]+') AS DOUBLE) AS v, value FROM c),
+        s AS (SELECT window_id, label, slot, max(v) IS NOT NULL AS numeric, coalesce(min(v), 0.0) AS low, coalesce(max(v), 0.0) AS high, coalesce(quantile_cont(v, 0.5), 0.0) AS median, max(CASE WHEN value LIKE '%ms' THEN 'ms' ELSE '' END) AS unit, count(DISTINCT value) AS n_distinct FROM n GROUP BY 1, 2, 3),
+        t AS (SELECT window_id, label, slot, list(value ORDER BY r) AS samples FROM d WHERE r <= 6 GROUP BY 1, 2, 3),
+        z AS (SELECT * FROM s JOIN t USING (window_id, label, slot) UNION ALL SELECT window_id, label, x, false, 0.0, 0.0, 0.0, '', 0, CAST([] AS VARCHAR[]) FROM g, (SELECT 0 AS x UNION ALL SELECT 1) WHERE event_type = 'view'),
+        o AS (SELECT window_id, label, slot, CASE WHEN numeric THEN '[' || {show("low")} || '..' || {show("high")} || unit || ' p50=' || {show("median")} || unit || ']' WHEN n_distinct > len(samples) THEN '[' || n_distinct || 'x ' || array_to_string(samples, ',') || ']' ELSE '[' || array_to_string(samples, ',') || ']' END AS shown FROM z),
+        p AS (SELECT window_id, label, string_agg(' ' || shown, '' ORDER BY slot) AS slots FROM o GROUP BY 1, 2),
+        q AS (SELECT window_id, label, string_agg(message, ' | ' ORDER BY line_index) AS samples FROM r WHERE r <= 3 GROUP BY 1, 2),
+        report AS (SELECT window_id, dense_rank() OVER (PARTITION BY window_id ORDER BY first_index) - 1 AS id, '[x' || count || '] ' || template || coalesce(slots, '') || ' samples: ' || q.samples AS line FROM g JOIN q USING (window_id, label) LEFT JOIN p USING (window_id, label)) """
+    pick = lambda options: f"list_extract({[*options]!r}, CAST(line_index % {len(options)} AS INT) + 1)"
+    label_number = "CASE label WHEN 'c0' THEN 2 WHEN 'c1' THEN 3 WHEN 'efalse' THEN 4 WHEN 'etrue' THEN 5 WHEN 'p0' THEN 6 WHEN 'p1' THEN 7 WHEN 'signup' THEN 8 ELSE 10 END"
     number = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
     lev = "('error','err','warn','warning','fatal','critical','crit','info','debug','trace','notice')"
     anchor = "(NOT regexp_matches(x, '^[!-,./:-@\\[-^`{-~]$') AND NOT regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z0-9_]'))"
     slots = LINES + f""", c AS (SELECT window_id, {TYPE_NUMBER} AS group_id, line_index, s.slot AS slot, CASE WHEN s.slot = 0 AND event_type = 'view' THEN k WHEN s.slot = 0 THEN CAST(user_id AS VARCHAR) WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) ELSE k || 'ms' END AS value
         FROM lines, (SELECT 0 AS slot UNION ALL SELECT 1) s WHERE event_type IN ('view', 'purchase')) """
+    quality = """, t AS (SELECT system, p, l, count(*) AS n FROM p GROUP BY 1, 2, 3),
+            a AS (SELECT system, p, sum(n) AS size, max(n) AS most FROM t GROUP BY 1, 2), b AS (SELECT system, l, sum(n) AS size FROM t GROUP BY 1, 2), x AS (SELECT t.system, sum(t.n) AS lines, count(*) AS sets FROM t JOIN a USING (system, p) JOIN b ON b.system = t.system AND b.l = t.l WHERE t.n = a.size AND t.n = b.size GROUP BY 1),
+            y AS (SELECT system, sum(size) AS n_lines, count(*) AS n_pred, sum(size - most) AS impure FROM a GROUP BY 1), z AS (SELECT system, count(*) AS n_label FROM b GROUP BY 1)
+            SELECT system, round(coalesce(lines, 0) / n_lines, 9) AS ga, round(coalesce(2.0 * sets / (n_pred + n_label), 0), 9) AS fga, round(1.0 - impure / n_lines, 9) AS purity, CAST(n_lines AS BIGINT) AS n_lines, n_pred, n_label FROM y JOIN z USING (system) LEFT JOIN x USING (system)"""
+    m1 = LINES + ", p AS (SELECT window_id AS system, event_type AS l, CASE WHEN event_type = 'view' THEN 'view-' || CAST(user_id % 2 AS VARCHAR) WHEN event_type IN ('click', 'error') THEN 'mixed' ELSE event_type END AS p FROM lines)" + quality
     sql = {
         "s1_text_lines": f"WITH d AS (SELECT doc_id, list_filter(string_split(text, {nl}), lambda x: regexp_matches(x, '\\S')) AS l FROM documents) SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_index, unnest(l) AS line FROM d",
         "s2_ndjson": LINES + "SELECT line_index, 'm ' || k AS message, CASE WHEN line_index % 5 = 2 THEN NULL ELSE 'info' END AS level, CASE WHEN line_index % 5 = 2 THEN 't' END AS timestamp FROM lines WHERE line_index % 5 IN (2, 4)",
@@ -319,18 +457,43 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT window_id, group_id, slot, string_agg(value, ',' ORDER BY r) AS samples, max(CASE WHEN r = 1 THEN regexp_extract(value, '[^A-Za-z]([A-Za-z]+)$', 1) END) AS unit FROM r WHERE r <= 6 GROUP BY 1, 2, 3)
             SELECT window_id, group_id, slot, true AS numeric, min(n) AS low, max(n) AS high, quantile_cont(n, 0.5) AS median, any_value(unit) AS unit, count(DISTINCT value) AS n_distinct, any_value(samples) AS samples FROM v JOIN s USING (window_id, group_id, slot) GROUP BY 1, 2, 3""",
         "a9_samples": LINES + f", r AS (SELECT window_id, {TYPE_NUMBER} AS group_id, message, line_index, row_number() OVER (PARTITION BY window_id, event_type ORDER BY line_index) AS r FROM lines) SELECT window_id, group_id, string_agg(message, ' | ' ORDER BY line_index) AS samples FROM r WHERE r <= 3 GROUP BY 1, 2",
-        "d1_online": LINES + ", f AS (SELECT *, min(line_index) OVER (PARTITION BY window_id, event_type) AS first_index FROM lines) SELECT window_id, line_index, dense_rank() OVER (PARTITION BY window_id ORDER BY first_index) AS cluster_id, row_number() OVER (PARTITION BY window_id, event_type ORDER BY line_index) AS cluster_size, line_index = first_index AS created FROM f",
-        "d5_match_all": LINES + "SELECT line_index, CASE WHEN event_type = 'view' THEN 1 WHEN user_id = 9 THEN 3 END AS cluster_id FROM lines WHERE event_type IN ('view', 'purchase')",
-        "d9_totals": LINES + "SELECT window_id, count(*) AS total_size, count(DISTINCT event_type) AS cluster_count FROM lines GROUP BY 1",
-        "a12_template_logs": LINES + "SELECT window_id, count(*) AS original_count, count(DISTINCT event_type) AS template_count, count(*) / count(DISTINCT event_type) AS line_compression FROM lines GROUP BY 1",
+        "d5_match_all": LINES + "SELECT line_index, CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'purchase' AND user_id = 9 THEN 3 END AS cluster_id FROM lines",
+        # the clusters of the even lines; masked places match no line, as lines that ask aren't masked
+        "d5_match": mixed_cte("drain-stock") + ", e AS (SELECT window_id, label, min(line_index) AS first_index FROM l WHERE line_index % 2 = 0 AND event_type IN ('purchase', 'click', 'error') GROUP BY 1, 2) SELECT l.window_id, line_index, first_index, CASE WHEN first_index IS NULL THEN NULL WHEN event_type = 'click' OR l.label = 'etrue' THEN message WHEN event_type = 'error' THEN 'fail disk <*>' ELSE regexp_replace(message, '[0-9]+ms', '<*>') END AS template FROM l LEFT JOIN e ON e.window_id = l.window_id AND e.label = l.label WHERE line_index % 2 = 1",
+        # templates change as soon as a second value is seen in a place
+        "d1_online": mixed_cte("drain-stock") + """, v AS (SELECT *, CASE event_type WHEN 'purchase' THEN CAST(k AS VARCHAR) WHEN 'error' THEN split_part(message, ' ', 3) ELSE '' END AS v FROM f), w AS (SELECT *, min(v) OVER so_far <> max(v) OVER so_far AS wild, lag(line_index) OVER (PARTITION BY window_id, label ORDER BY line_index) IS NULL AS created FROM v WINDOW so_far AS (PARTITION BY window_id, label ORDER BY line_index ROWS UNBOUNDED PRECEDING)),
+            x AS (SELECT *, lag(wild) OVER (PARTITION BY window_id, label ORDER BY line_index) AS before FROM w) SELECT window_id, line_index, dense_rank() OVER (PARTITION BY window_id ORDER BY first_index) AS cluster_id, row_number() OVER (PARTITION BY window_id, label ORDER BY line_index) AS cluster_size,
+            CASE event_type WHEN 'view' THEN '<NUM> -- <NUM>' WHEN 'signup' THEN regexp_replace(message, '[0-9]+', '<NUM>') WHEN 'purchase' THEN CASE WHEN wild THEN regexp_replace(message, '[0-9]+ms', '<*>') ELSE message END WHEN 'error' THEN CASE WHEN wild THEN 'fail disk <*>' ELSE message END ELSE message END AS template,
+            CASE WHEN created THEN 'cluster_created' WHEN wild AND NOT before THEN 'cluster_template_changed' ELSE 'none' END AS update_type FROM x""",
+        "d9_totals": mixed_cte("drain-stock") + "SELECT window_id, count(*) AS total_size, count(DISTINCT label) AS cluster_count FROM f GROUP BY 1",
+        "a12_template_logs": mixed_cte("drain") + "SELECT window_id, count(*) AS original_count, count(DISTINCT label) AS template_count, count(*) / count(DISTINCT label) AS line_compression FROM f GROUP BY 1",
+        "a13_report": profiles + "SELECT window_id, id, line FROM report",
+        "k1_render": profiles + f"SELECT window_id, string_agg(line, {nl} ORDER BY id) AS text FROM report GROUP BY 1",
+        "f17_templates": profiles + f"SELECT window_id, {label_number} AS group_id, template FROM g",
+        "a14_groups_json": profiles + f""", sl AS (SELECT window_id, label, list({{'numeric': numeric, 'min': CAST(low AS DOUBLE), 'max': CAST(high AS DOUBLE), 'median': CAST(median AS DOUBLE), 'unit': unit, 'distinct': n_distinct, 'samples': samples}} ORDER BY slot) AS slots FROM z GROUP BY 1, 2),
+            sa AS (SELECT window_id, label, list({{'index': line_index, 'text': message, 'level': CAST(NULL AS VARCHAR), 'timestamp': CAST(NULL AS VARCHAR)}} ORDER BY line_index) AS samples FROM r WHERE r <= 3 GROUP BY 1, 2),
+            gr AS (SELECT window_id, list({{'id': {label_number}, 'first_index': first_index, 'count': count, 'template': template, 'samples': sa.samples, 'slots': coalesce(sl.slots, [])}} ORDER BY {label_number}) AS groups, sum(count) AS n, count(*) AS m FROM g JOIN sa USING (window_id, label) LEFT JOIN sl USING (window_id, label) GROUP BY 1)
+            SELECT window_id, CAST(to_json({{'groups': groups, 'original_count': CAST(n AS BIGINT), 'template_count': m, 'line_compression': CAST(n / m AS DOUBLE)}}) AS VARCHAR) AS json FROM gr""",
+        "f21_matches": mixed_cte("drain") + "SELECT line_index, event_type = 'purchase' AND k % 2 = 0 AS matches FROM l",
+        "f27_normalize": "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents",
+        # four groups are a label's whole set; those of clicks and views have its text as template
+        "m4_template_accuracy": mixed_cte("drain") + "SELECT window_id AS system, 1.0 AS ga, 1.0 AS fga, round(CAST(count(DISTINCT CASE WHEN event_type IN ('click', 'view') THEN label END) AS DOUBLE) / count(DISTINCT label), 9) AS fta, 1.0 AS purity FROM f GROUP BY 1",
+        "s7_synthetic": f"WITH i AS (SELECT range AS line_index FROM range(2000)) SELECT line_index, replace(replace(replace(replace({pick(sources.SYNTHETIC_LINES)}, '{{user}}', {pick(sources.SYNTHETIC_USERS)}), '{{port}}', CAST(10000 + line_index % 55000 AS VARCHAR)), '{{ip}}', CAST(1 + line_index % 254 AS VARCHAR)), '{{host}}', {pick(sources.SYNTHETIC_HOSTS)}) AS message FROM i",
         "a15_compression": LINES + f", a AS (SELECT window_id, sum(octet_length(encode(message)) + 1) AS n FROM lines GROUP BY 1), b AS (SELECT window_id, string_agg(event_type, {nl} ORDER BY event_type) AS t FROM (SELECT DISTINCT window_id, event_type FROM lines) GROUP BY 1) SELECT window_id, round(n / octet_length(encode(t)), 9) AS char_compression FROM a JOIN b USING (window_id)",
         "k3_k4_numbers": f"SELECT event_id, {number} AS number, '[' || {number} || 'ms]' AS one FROM events",
         "k5_k8_texts": LINES + "SELECT line_index, substr(message, 1, 12) AS clipped, format('ID={:<5d} : size={:<10d}: {}', user_id, line_index, event_type) AS shown, printf('%d lines -> %d templates (%.1fx)', line_index, user_id + 1, line_index / (user_id + 1)) AS stats FROM lines",
-        "m1_quality": LINES + """, p AS (SELECT window_id AS system, event_type AS l, CASE WHEN event_type = 'view' THEN 'view-' || CAST(user_id % 2 AS VARCHAR) WHEN event_type IN ('click', 'error') THEN 'mixed' ELSE event_type END AS p FROM lines), t AS (SELECT system, p, l, count(*) AS n FROM p GROUP BY 1, 2, 3),
-            a AS (SELECT system, p, sum(n) AS size, max(n) AS most FROM t GROUP BY 1, 2), b AS (SELECT system, l, sum(n) AS size FROM t GROUP BY 1, 2), x AS (SELECT t.system, sum(t.n) AS lines, count(*) AS sets FROM t JOIN a USING (system, p) JOIN b ON b.system = t.system AND b.l = t.l WHERE t.n = a.size AND t.n = b.size GROUP BY 1),
-            y AS (SELECT system, sum(size) AS n_lines, count(*) AS n_pred, sum(size - most) AS impure FROM a GROUP BY 1), z AS (SELECT system, count(*) AS n_label FROM b GROUP BY 1)
-            SELECT system, round(coalesce(lines, 0) / n_lines, 9) AS ga, round(coalesce(2.0 * sets / (n_pred + n_label), 0), 9) AS fga, round(1.0 - impure / n_lines, 9) AS purity, CAST(n_lines AS BIGINT) AS n_lines, n_pred, n_label FROM y JOIN z USING (system) LEFT JOIN x USING (system)""",
+        "m1_quality": m1,
+        "m7_bootstrap": f"""WITH RECURSIVE m AS ({m1}), a AS (SELECT list(purity ORDER BY system) AS v, count(*) AS n FROM m),
+            g AS (SELECT 0 AS i, xor(CAST({metrics.MEAN_SEED} AS HUGEINT), CAST((SELECT n FROM a) AS HUGEINT)) AS state UNION ALL SELECT i + 1, (state * {metrics.MULTIPLIER} + 1) % 18446744073709551616 FROM g WHERE i < {metrics.RESAMPLES} * (SELECT n FROM a)),
+            d AS (SELECT (i - 1) // n AS b, avg(v[CAST((state // 4294967296) % n AS BIGINT) + 1]) AS mean FROM g, a WHERE i > 0 GROUP BY 1), s AS (SELECT list(mean ORDER BY mean) AS l FROM d)
+            SELECT 'arm' AS arm, round(list_avg(v), 9) AS mean, round(l[{int(metrics.RESAMPLES * 0.025)} + 1], 9) AS low, round(l[{int(metrics.RESAMPLES * 0.975)} + 1], 9) AS high FROM a, s""",
+        "m9_arms": " UNION ALL ".join(f"SELECT '{arm}' AS arm, system, ga, fga, purity, n_pred FROM (" + mixed_cte(name) + ", p AS (SELECT window_id AS system, event_type AS l, label AS p FROM f)" + quality + ")" for arm, name in (("drain", "drain"), ("online", "drain-stock"))),
         "v1_v3_limits": "SELECT conv_id, max(CASE WHEN turn >= 4 OR length(text) > 1000 THEN 413 END) AS status FROM conversations GROUP BY 1",
         "w1_session_windows": "SELECT conv_id AS window_id, count(*) AS total, count(*) AS original_count FROM conversations GROUP BY 1",
     }
-    return sql | {k: groups for k in queries() if k[:2] in ("g1", "g2", "g3", "g4", "g5")}
+    online = sql["d1_online"]
+    sql["m10_base_templates"] = f"SELECT window_id, cluster_id AS group_id, arg_max(template, line_index) AS template FROM ({online}) GROUP BY 1, 2"
+    sql["w7_online_stream"] = f"SELECT window_id, line_index, cluster_size, template, update_type FROM ({online})"
+    sql["w5_session_templates"] = sql["a13_report"]
+    sql["w3_session_totals"] = "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS ingested, count(*) AS total FROM conversations GROUP BY 1"
+    return sql | {k: mixed_cte(name) + groups for k, name in zip((k for k in queries() if k[0] == "g"), SPLITS)}

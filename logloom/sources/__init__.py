@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from logloom.functions import parse
 from logloom.functions.text import WS
@@ -100,8 +99,3 @@ def synthetic_lines(spark: SparkSession, n: int) -> DataFrame:
     for name, value in (("user", pick(SYNTHETIC_USERS)), ("port", (10_000 + i % 55_000).cast("string")), ("ip", (1 + i % 254).cast("string")), ("host", pick(SYNTHETIC_HOSTS))):
         message = F.replace(message, F.lit(f"{{{name}}}"), value)
     return spark.range(n).select(i.alias("line_index"), message.alias("message"))
-
-
-def numbered(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Adds line_index from 0 in an order, within groups."""
-    return df.withColumn("line_index", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long") - 1)
