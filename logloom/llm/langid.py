@@ -14,13 +14,13 @@ Very long texts are scored whole, in blocks.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ EXHAUSTIVE = 6
 UNKNOWN = "und"
 #: Trigrams that are decoded together for the agreement.
 STRETCH = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters becomes a blank; bytes of other characters stay.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 

@@ -1,12 +1,15 @@
 """Document fingerprints as Merkle trees (operator 4), in DataFrame functions only.
 
 Text is cut, losing no character, into sections (at blank lines), paragraphs (lines) and leaves (four
-words). A leaf's node is the hash of its text, every other node the hash of its children's, and the
-root a SHA-256 over the sections, so equal roots mean equal texts. The fingerprint writes out the root
-and the tree; where roots differ, ``differing`` goes down the branches and gives the edited paragraphs.
-Likeness is 1 for equal roots and otherwise the Dice coefficient of the two sets of leaves.
-
-Null text is empty: one section, one paragraph, no leaf; its likeness to any other text is 0.
+words). A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, and the
+root that of the sections' nodes, so equal roots mean equal texts. Below the paragraphs, leaves have
+hashes of 32 bits. The fingerprint writes out the root and all leaves in their tree; where roots
+differ, ``differing`` goes down the branches and gives the edited paragraphs. Likeness is what two
+fingerprints say: 1 for equal roots and otherwise the Dice coefficient of their sets of leaf hashes.
+
+Null text is empty: one section, one paragraph, no leaf; its likeness to any other text is 0. Ids may
+be of any type that has an order; null ids come first, in the order of their texts' hashes, and rows
+that repeat an id follow each other likewise. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +28,19 @@ BLOCK = 1024
 
 def tree(text: Column) -> Column:
     """array (sections) of array (paragraphs) of array<long> (leaves)."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x))
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.transform(F.split(text, SECTION, -1), lambda s: F.transform(F.split(s, PARAGRAPH, -1), leaves))
 
 
-def root(nodes: Column) -> Column:
-    section = lambda s: F.hex(F.xxhash64(F.transform(s, lambda p: F.xxhash64(p))))
-    return F.sha2(F.array_join(F.transform(nodes, section), ","), 256)
+def root(text: Column) -> Column:
+    joined = lambda nodes: F.sha2(F.array_join(nodes, ","), 256)
+    section = lambda s: joined(F.transform(F.split(s, PARAGRAPH, -1), lambda p: F.sha2(p, 256)))
+    return joined(F.transform(F.split(text, SECTION, -1), section))
 
 
 def fingerprint(nodes: Column, root_hash: Column) -> Column:
     """root:leaf.leaf/leaf.leaf|...: leaves joined by dots, paragraphs by slashes, sections by bars."""
-    paragraph = lambda p: F.array_join(F.transform(p, lambda x: F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
+    paragraph = lambda p: F.array_join(F.transform(p, lambda x: F.lower(F.hex(x))), ".")
     section = lambda s: F.array_join(F.transform(s, paragraph), "/")
     return F.concat(root_hash, F.lit(":"), F.array_join(F.transform(nodes, section), "|"))
 
@@ -65,8 +69,9 @@ def differing(nodes_a: Column, nodes_b: Column) -> Column:
 
 def with_tree(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     """Adds <prefix>tree, <prefix>root and <prefix>leaves of a text column."""
-    df = df.withColumn(f"{prefix}tree", tree(F.coalesce(F.col(text_col), F.lit(""))))
-    return df.withColumn(f"{prefix}root", root(F.col(f"{prefix}tree"))).withColumn(f"{prefix}leaves", leaf_set(F.col(f"{prefix}tree")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn(f"{prefix}tree", tree(text)).withColumn(f"{prefix}root", root(text))
+    return df.withColumn(f"{prefix}leaves", leaf_set(F.col(f"{prefix}tree")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,11 +97,16 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last. Equal ids are ordered by the hash of their texts, null ids come first. Texts move once, to
     their block of ids; only the first text of each block moves to the block before as well."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # below the block of the smallest long
-    block = F.coalesce(F.floor(F.col(id_col) / F.lit(BLOCK)).cast("long"), F.lit(-(1 << 60)))
-    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        wide = F.col(id_col).cast("long")
-        block = F.coalesce(F.shiftright(wide, BLOCK.bit_length() - 1), F.lit(-(1 << 60)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        block = F.shiftright(F.col(id_col).cast("long"), BLOCK.bit_length() - 1)
+    elif kind in ("double", "float") or kind.startswith("decimal"):
+        block = F.floor(F.col(id_col) / F.lit(BLOCK)).cast("long")
+    else:
+        # the first six bytes as a number, in the order of the strings
+        block = F.conv(F.rpad(F.left(F.hex(F.encode(F.col(id_col).cast("string"), "utf-8")), F.lit(12)), 12, "0"), 16, 10).cast("long")
+    # null ids have blocks below all others, by the leading bits of their hash, which they are ordered by
+    block = F.when(F.col(id_col).isNull(), F.shiftright(F.xxhash64(text), 44) - (1 << 60)).otherwise(block)
     rows = docs.select(block.alias("b"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     firsts = rows.groupBy("b").agg(F.min(F.struct("id", "h")).alias("at"))
     ring = successors(firsts.select(F.col("b").alias("k")))

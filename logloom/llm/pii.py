@@ -74,10 +74,10 @@ def _with_gaps(kind: str, pattern: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, found): for each kind and for words, matches in order, each with what stands before it
-    since the last one: its length and its end. No text moves."""
+    """(rid, id, h, found): the hash of the text and, for each kind and for words, matches in order, each with
+    what stands before it since the last one: its length and its end. No text moves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"))
+    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     df = df.withColumn("digits", F.col("text").rlike("[0-9]"))
     none = F.array().cast("array<string>")
     expressions = BASE | {"word": WORD}
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         df = df.withColumn(f"m_{kind}", F.when(hint, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     items = [_with_gaps(kind, pattern) for kind, pattern in expressions.items()]
     kept = [F.coalesce(x, F.array().cast("array<struct<kind:string,gap:int,tail:string,match:string>>")) for x in items]
-    return df.select("rid", "id", F.array(*kept).alias("found"))
+    return df.select("rid", "id", "h", F.array(*kept).alias("found"))
 
 
 def places(scanned: DataFrame) -> DataFrame:
@@ -155,7 +155,14 @@ def bootstrap(words: DataFrame, rounds: int = 3, least_seeds: int = 4, confident
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per document: id and spans array<struct<start,rank,kind,end,base,match>> in order of
-    start and kind; base is false for what the patterns discovered."""
+    start and kind; base is false for what the patterns discovered. Contexts are the two words before,
+    within the last ``TAIL`` characters."""
+    out = _extracted(docs, id_col, text_col, **settings)
+    return out.select(F.col("id").alias(id_col), "spans")
+
+
+def _extracted(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
+    """(id, h, spans), h the hash of the text."""
     scanned = materialize(scan(docs, id_col, text_col), "scanned")
     found = materialize(places(scanned), "places")
     checks = F.lit(False)
@@ -187,34 +194,37 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "base", "match"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,end:bigint,base:boolean,match:string>>")
-    return scanned.select("rid", "id").join(spans, "rid", "left").select(F.col("id").alias(id_col), F.coalesce("spans", empty).alias("spans"))
+    return scanned.select("rid", "id", "h").join(spans, "rid", "left").select("id", "h", F.coalesce("spans", empty).alias("spans"))
 
 
-def _shown(kind: str, hits: Column) -> Column:
-    return F.transform(hits, lambda m: F.when(valid(kind, m), f"<{kind.upper()}>").otherwise(m))
+def masked(text: Column, spans: Column) -> Column:
+    """Text with what ``spans`` (in order of their starts) cover replaced by <KIND>, cut by offsets. Spans that
+    overlap become one mark, of the kind that begins first."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
 
+    def step(s: Column, x: Column) -> Column:
+        new = F.array(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["pieces"], new)).otherwise(s["pieces"]).alias("pieces"))
 
-def masked(text: Column, fresh: Column) -> Column:
-    """Text with every valid base match, and the given discovered strings, replaced by <KIND>."""
-    out = text
-    for kind in KINDS:
-        gaps, hits = F.split(out, BASE[kind], -1), F.regexp_extract_all(out, F.lit(BASE[kind]), F.lit(0))
-        shown = _shown(kind, hits)
-        put = F.array_join(F.zip_with(gaps, shown, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        hint = F.contains(out, F.lit(HINT[kind])) if HINT[kind] else out.rlike("[0-9]")
-        out = F.when(hint, put).otherwise(out)
-    return F.aggregate(fresh, out, lambda t, s: F.replace(t, s["match"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+    def finish(s: Column) -> Column:
+        return F.array_join(F.concat(s["pieces"], F.array(F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))), "")
+
+    return F.aggregate(spans, start, step, finish)
 
 
 def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **settings) -> DataFrame:
-    """The rows of ``docs`` with base matches and discovered instances masked, all columns kept. Rows
-    that repeat an id are masked with each other's discoveries; ``size_col`` is counted again."""
-    fresh = extract(docs, id_col, text_col, **settings).select(F.col(id_col).alias("__pii_id"), F.filter("spans", lambda s: ~s["base"]).alias("fresh")).where(F.size("fresh") > 0)
-    fresh = materialize(fresh.groupBy("__pii_id").agg(F.flatten(F.collect_list("fresh")).alias("__pii_fresh")), "fresh")
-    none = F.array().cast(fresh.schema["__pii_fresh"].dataType)
-    joined = docs.join(fresh, F.col(id_col).eqNullSafe(F.col("__pii_id")), "left") if fresh.head(1) else docs.withColumn("__pii_fresh", none)
-    done = joined.withColumn("__pii_text", masked(F.col(text_col), F.coalesce("__pii_fresh", none)))
-    new = {text_col: F.col("__pii_text")}
+    """The rows of ``docs`` with base matches and discovered instances masked at their places, all columns
+    kept. Null texts stay null, rows that repeat id and text are masked alike; ``size_col`` is counted again.
+    Rows are found by id and text hash; where few rows hold anything, their spans are sent to the texts."""
+    held = materialize(_extracted(docs, id_col, text_col, **settings).where(F.size("spans") > 0).dropDuplicates(["id", "h"]), "spans")
+    inner = {c: f"__{c}_of_pii" for c in ("id", "h", "spans")}
+    held = held.withColumnsRenamed(inner)
+    text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(inner["id"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(inner["h"]))
+    found = F.col(inner["spans"])
+    new = {text_col: F.when(found.isNull(), text).otherwise(masked(text, found))}
+    joined = docs.join(held, same, "left").withColumn("__text_of_pii", new[text_col])
+    new = {text_col: F.col("__text_of_pii")}
     if size_col in docs.columns:
-        new[size_col] = F.when(F.col("__pii_text") == F.col(text_col), F.col(size_col)).otherwise(F.char_length("__pii_text")).cast(dict(docs.dtypes)[size_col])
-    return done.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        new[size_col] = F.when(found.isNull(), F.col(f"`{size_col}`")).otherwise(F.char_length("__text_of_pii")).cast(dict(docs.dtypes)[size_col])
+    return joined.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

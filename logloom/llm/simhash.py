@@ -68,16 +68,16 @@ def fingerprint(data: np.ndarray, size: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and fp, the 64 bits as a long."""
+    """One row per document: id, row (xxhash64 of the text) and fp, the 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = byte_slices(batch.column(1))
+            data, at = byte_slices(batch.column(2))
             found = [fingerprint(data[at[i] : at[i + 1]], size, seed) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "row", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), f"id {kind}, row long, fp long")
 
 
 class Ring:
@@ -175,14 +175,15 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 20_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fp (long) and component_id, the smallest id reachable over links."""
+    """One row per document: id, fp (long) and component_id, the smallest id reachable over links; also row
+    (xxhash64 of the text) and group, a number that rows share if links join them, whatever their ids."""
     prints = materialize(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
     component = connected_components(links(distinct.select("fp"), tau))
     member = distinct.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     smallest = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = member.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = member.select("fp", "component").join(smallest, "component").select("fp", "component_id", F.col("component").alias("group"))
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "row", "group")
 
 
 def one_row(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,14 +209,6 @@ def one_row(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> D
 
 
 def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns. Rows that
-    repeat such an id stay once; rows without an id all stay."""
-    groups = materialize(near_duplicates(docs, tau, size, seed, id_col, text_col).where(F.col(id_col).isNotNull()), "groups")
-    chosen = F.col("component_id") == F.col(id_col)
-    if not groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
-        # those that go are the smaller part, often small enough to be sent to the texts
-        gone = materialize(groups.where(~chosen).select(F.col(id_col).alias("gone_id_")), "gone")
-        return docs.join(gone, docs[id_col] == F.col("gone_id_"), "left_anti")
-    stay = materialize(groups.where(chosen).select(F.col(id_col).alias("stay_id_")).distinct(), "stay")
-    kept = docs.join(stay, docs[id_col] == F.col("stay_id_"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` of each group, with all columns: that of the smallest id (null after all)."""
+    groups = materialize(near_duplicates(docs, tau, size, seed, id_col, text_col), "groups")
+    return one_row(docs, groups.select(F.col(id_col).alias("id"), "row", "group"), id_col, text_col)

@@ -24,3 +24,14 @@ def test_contexts_across_numbers(spark):
     assert discovered(spark, seeds + unseen) == {(60, "email", "bob@localhost")}
     listed = [f"call 7 9 +1 (555) 010-{i:04d}" for i in range(30)]
     assert discovered(spark, [*listed, "call 7 9 555-0199"]) == {(30, "phone", "555-0199")}
+
+
+def test_masks_are_cut_by_offsets(spark):
+    ship(spark)
+    texts = [f"please call me at +1 (555) 010-{i:04d} today" for i in range(30)] + ["9555-01998 please call me at 555-0199 today", "a@b.co 4111 1111 1111 1111 😀 1.2.3.4"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(30, "9555-01998 only", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __pii_fresh string")
+    got = pii.without_personal_data(df)
+    assert got.columns == df.columns
+    found = {(r.doc_id, r.text) for r in got.collect()}
+    assert {(30, "9555-01998 please call me at <PHONE> today"), (30, "9555-01998 only"), (31, "<EMAIL> <CARD> 😀 <IP>"), (None, None)} <= found
