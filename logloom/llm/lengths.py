@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.llm.common import trimmed
+from logloom.llm.common import materialize, trimmed
 from logloom.llm.packing import encoder
 
 #: Lengths in a band of the two-level sums.
@@ -39,7 +39,8 @@ def token_lengths(docs: DataFrame, json_path: str, ranks_path: str | None = None
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """One row per length: limit, n_docs; docs_over, tokens_over (strictly longer ones); total_docs,
     total_tokens; kept_tokens (all documents cut to the limit) and quantile (share not longer)."""
-    counts = lengths.groupBy(F.col(column).alias("limit")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # written, as two branches read it and texts should be encoded once; a row per different length
+    counts = materialize(lengths.groupBy(F.col(column).alias("limit")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     counts = counts.withColumn("band", F.floor(F.col("limit") / BAND)).withColumn("tokens", F.col("limit") * F.col("n_docs"))
     bands = counts.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # one row per band of lengths: as many as the longest document has thousands of tokens
