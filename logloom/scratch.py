@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written since the innermost ``swept`` of this thread began.
+_sweep: ContextVar[list[DataFrame] | None] = ContextVar("sweep", default=None)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back: lineage is cut,
     a lost executor costs a reread, and the plan above sees real sizes."""
@@ -27,6 +34,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    written = _sweep.get()
+    if written is not None:
+        written.append(out)
     return out
 
 
@@ -39,6 +49,25 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def swept() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that its thread writes within it at its end, but for those put into the list it
+    gives; these belong to a sweep around it, if there is one."""
+    kept: list[DataFrame] = []
+    written: list[DataFrame] = []
+    token = _sweep.set(written)
+    try:
+        yield kept
+    finally:
+        _sweep.reset(token)
+        outer = _sweep.get()
+        if outer is not None:
+            outer.extend(kept)
+        for table in written:
+            if not any(table is x for x in kept):
+                discard(table)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
