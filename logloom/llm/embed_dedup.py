@@ -12,6 +12,7 @@ a task gives one row per vector, not the pairs. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,23 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import connected_components, materialize, sorted_groups, trimmed
 
-#: A pair at cosine 0.93 agrees in a plane's sign with p = 0.880 and is missed by all tables with
-#: (1 - p ** BITS) ** TABLES = 0.0003. For more rows raise BITS by one per doubling, and TABLES by 1 / p.
-BITS, TABLES, BLOCK = 12, 34, 1024
+#: Keys have one bit more per doubling of the different vectors, so that a bucket holds about BUCKET of them
+#: however many there are; BITS at least, and 30 at most, as a key is an int.
+BITS, BUCKET, BLOCK = 12, 16, 1024
+#: Share of the pairs at the threshold that may meet in no table.
+MISSED = 0.0003
+
+
+def key_bits(n: int) -> int:
+    """Bits of a key for ``n`` different vectors."""
+    return min(max(BITS, math.ceil(math.log2(max(n, 1) / BUCKET))), 30)
+
+
+def table_count(threshold: float, bits: int) -> int:
+    """Tables needed: a pair at the threshold agrees in a plane's sign with p (0.880 at 0.93), so all tables
+    miss it with (1 - p ** bits) ** tables, which MISSED bounds."""
+    p = 1 - math.acos(threshold) / math.pi
+    return math.ceil(math.log(MISSED) / math.log1p(-(p**bits)))
 
 
 def planes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
@@ -121,14 +136,17 @@ def link_counts(nodes: DataFrame, threshold: float, tables: int, bits: int, bloc
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, bits: int = BITS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, bits: int | None = None, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """One row per vector: id, n_links, component_id (its own id if it has no link), kept."""
+    """One row per vector: id, n_links, component_id (its own id if it has no link), kept. ``bits`` follow from
+    the number of different vectors and ``tables`` from bits and threshold, unless they are given."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fit = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(fit, F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))))
     nodes = materialize(rows.where("vector is not null").groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes")
+    bits = bits or key_bits(nodes.count())
+    tables = tables or table_count(threshold, bits)
     found = materialize(link_counts(nodes, threshold, tables, bits, block), "links")
     same = nodes.join(rows.where("vector is not null"), ["label", "vector"]).where("id <> node").select(F.col("id").alias("node"), F.col("node").alias("peer"))
     component = connected_components(found.select("node", "peer").where("node <> peer").union(same))

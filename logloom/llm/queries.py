@@ -77,5 +77,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Cosines of all pairs of a label in double precision, then the smallest id reachable over the links.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reached AS (
+  SELECT p, q FROM link UNION SELECT r.p, l.q FROM reached r JOIN link l ON r.q = l.p
+), degree AS (SELECT p, count(*) AS n FROM link GROUP BY p), least AS (SELECT p, min(q) AS m FROM reached GROUP BY p)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.p LEFT JOIN least l ON e.vec_id = l.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express: the others hash, tokenize or learn in ways it has no words for."""
+    return {"op1_embedding_near_dedup": OP1_SQL}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import byte_slices, materialize, sorted_groups, trimmed
+from logloom.llm.common import byte_slices, discard, materialize, sorted_groups, trimmed
 
 #: Bytes of the grams that can be anchors, and of a tile of text.
 GRAM, TILE = 16, 1 << 20
@@ -306,6 +306,8 @@ def repeated_spans(docs: DataFrame, least: int, keep: str, hot_entries: int = HO
     # a table of its own, so that the join with it can be split where a key is hot
     keys = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     again = materialize(found.join(keys, "key"), "candidates")
+    for done in (found, keys):
+        discard(done)
     here = F.struct("id", "start", "h")
     entries = materialize(again.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("at"), F.first("length").alias("length"), F.first("rel").alias("rel")), "entries")
     # an entry alone under its key has met only copies of itself and needs no bytes
