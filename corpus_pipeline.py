@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import jaccard, langid, packing, pii, suffix
-from logloom.llm.common import materialize
+from logloom.llm.common import discard, materialize
 from logloom.llm.queries import JSON_50K, RANKS_50K
+from logloom.scratch import swept
 from logloom.ship import ship
 
 #: Bytes from which a string that repeats is cut from all but its first place.
@@ -56,5 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with swept() as kept:
+            out = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(out)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
