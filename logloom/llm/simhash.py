@@ -159,8 +159,9 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 20_000) -> DataFrame:
                 pairs = np.array(out, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    # each row becomes many, so rows that fit one task are dealt out first
-    dealt = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
+    # each row becomes many, so rows that fit one task are dealt out first; by another expression than the
+    # fingerprints came by, as Spark drops an exchange that repeats one, and joins small partitions of the first
+    dealt = distinct.select("fp").repartition(partitions(distinct.sparkSession), F.xxhash64("fp"))
     spread_out = dealt.mapInArrow(trimmed(spread), "key long, fp long, flipped boolean").withColumn("whole", (~F.col("flipped")).cast("long")).drop("flipped")
     sizes = spread_out.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = materialize(sizes.select("key", F.ceil(F.col("n") / (block // 2)).alias("blocks")), "hotkeys")
