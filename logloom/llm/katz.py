@@ -10,8 +10,9 @@ keeps some mass; where counts of counts are too few, absolute discounting stands
 Counts are whole-corpus tables in partitions. Texts are gathered in blocks (a table in the shared
 folder). Each block sends its distinct words with counts to the partition of their hash range and gets
 back, for each, a number and the corpus count. It then sends its pairs, summed by document, to the
-partition of the context; contexts with a large share of all tokens are dealt out by pair, and their
-alphas are put together from partial sums. Every partition scores the pairs it holds by recursion
+slice of the context; contexts with a large share of all tokens are dealt out by pair, and their
+alphas are put together from partial sums. There are as many slices as the counted bytes of text ask for,
+so that what a task holds doesn't grow with the corpus. Every partition scores the pairs it holds by recursion
 (pair, else alpha and word) and sends sums per document back to the block. Payloads are packed columns.
 
 Null and empty texts have the end token alone. Null ids are never held out. Repeated rows count each.
@@ -40,8 +41,10 @@ SMALL, ABSOLUTE = 0.01, 0.5
 BLOCK = 8 << 20
 #: Bytes of text that are cut into words at once.
 CHUNK = 1 << 20
-#: Slices of a table for each shuffle partition.
+#: Slices of a table for each shuffle partition, at least.
 SLICES = 4
+#: Bytes of text whose words, and whose pairs, make up a slice at most.
+WORD_SLICE, PAIR_SLICE = 256 << 20, 16 << 20
 END = np.uint64(2**64 - 1)
 _TABLE = np.random.default_rng(20).integers(0, 2**63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -235,7 +238,7 @@ def count_words(held: DataFrame, n_slices: int) -> DataFrame:
                 )
 
     asked = held.select("blk", "held", "sizes", "data").mapInArrow(trimmed(ask), "blk long, r long, keys binary, train binary, every binary")
-    return asked.repartition("r").sortWithinPartitions("r").mapInArrow(trimmed(answer), "blk long, r long, numbers binary, train binary, every binary, stats array<long>")
+    return asked.repartition(-(-n_slices // SLICES), "r").sortWithinPartitions("r").mapInArrow(trimmed(answer), "blk long, r long, numbers binary, train binary, every binary, stats array<long>")
 
 
 PAYLOAD = "r long, blk long, h binary, w binary, share binary, doc binary, n binary, context binary, ids binary, n_docs long, n_tokens binary, n_known binary, base binary"
@@ -260,10 +263,9 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                 number = np.concatenate([unpacked_sorted(x["numbers"], "<i8") + offsets[x["r"]] for x in answers])
                 train = np.concatenate([unpacked(x["train"], "<i8") for x in answers])
                 every = np.concatenate([unpacked(x["every"], "<i8") for x in answers])
-                slice_of = np.repeat([x["r"] for x in answers], [b - a for a, b in _lengths(keys, answers, n_slices)])
                 # the start of a text is the last context
                 number, train, every = np.append(number, offsets[-1]), np.append(train, uni_starts), np.append(every, uni_all_starts)
-                slice_of = np.append(slice_of, n_slices - 1)
+                slice_of = (number // width).astype(np.int32)
                 h = np.concatenate([[len(keys)], w[:-1]])
                 h[np.concatenate([[True], doc[1:] != doc[:-1]])] = len(keys)
                 c = train[w]
@@ -279,7 +281,7 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                 del code
                 n = np.where(trains[d], n, -n).astype("<i4")
                 wide = every[hh] >= hot
-                r = slice_of[hh].astype(np.int32)
+                r = slice_of[hh]
                 mixed = ((number[hh[wide]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ number[ww[wide]].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
                 r[wide] = n_slices + ((mixed >> np.uint64(33)) % np.uint64(n_slices)).astype(np.int32)
                 order = np.argsort(r, kind="stable").astype(np.int32)
@@ -307,14 +309,11 @@ def send_pairs(joined: DataFrame, offsets: np.ndarray, uni: Unigrams, n_slices:
                     yield pa.RecordBatch.from_arrays([pa.array([q.get(c) for q in rows], k) for c, k in zip(names, kinds)], names)
 
     uni_starts, uni_all_starts = uni.starts, uni.all_starts
+    # numbers follow the hashes' order: equal ranges of them, the start of a text being the last
+    width = int(offsets[-1]) // n_slices + 1
     return joined.select("blk", "held", "sizes", "data", "counts").mapInArrow(trimmed(run), PAYLOAD)
 
 
-def _lengths(keys: np.ndarray, answers: list[dict], n_slices: int) -> list[tuple[int, int]]:
-    cut = [0, *_slices(keys, n_slices), len(keys)]
-    return [(cut[x["r"]], cut[x["r"] + 1]) for x in answers]
-
-
 def _pairs_of(part: pa.Table, wide_numbers: bool, wide_tokens: bool) -> dict[str, np.ndarray]:
     """Columns of one slice, over all blocks; ``at`` is the payload row of each pair."""
     get = lambda c, f: [f(x.as_py()) for x in part.column(c)]
@@ -413,7 +412,7 @@ def score_pairs(sent: DataFrame, uni: Unigrams, offsets: np.ndarray, n_slices: i
                 row |= dict(zip(("late_doc", "late_h", "late_n"), map(packed, np.concatenate(waiting[blk], axis=1).astype(np.int64))))
             yield make([row])
 
-    dealt = sent.repartition("r")
+    dealt = sent.repartition(-(-n_slices // SLICES), "r")
     fields = ", ".join(f"n{k} long" for k in range(K + 1))
     totals = dealt.sortWithinPartitions("r").mapInArrow(trimmed(count), fields).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(K + 1)))
     # one row of totals goes to every task; the pairs' exchange is used for both
@@ -453,18 +452,21 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """Trains on documents for which ``held`` isn't true and scores all. One row per document: id,
     held_out, n_tokens, n_known, train_tokens, base_score, score. ``hot_share``: the share of all tokens
     from which a context is dealt out by pair (default: that of an even shuffle partition)."""
-    n_slices = SLICES * partitions(docs.sparkSession)
     gathered = materialize(blocks(docs, id_col, text_col, held), "blocks")
-    counted = materialize(count_words(gathered, n_slices), "words")
+    starts = F.size(F.filter("held", lambda x: ~x)).cast("long")
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = gathered.agg(F.sum(F.size("held").cast("long")).alias("n"), F.sum(starts).alias("t"), F.sum(total).alias("bytes")).first()
+    least = SLICES * partitions(docs.sparkSession)
+    n_words, n_slices = (max(least, -(-(whole["bytes"] or 0) // most)) for most in (WORD_SLICE, PAIR_SLICE))
+    counted = materialize(count_words(gathered, n_words), "words")
     stats = {r["r"]: r["stats"] for r in counted.where("blk is null").select("r", "stats").collect()}
-    size = np.zeros(n_slices + 1, np.int64)
+    size = np.zeros(n_words + 1, np.int64)
     for r, s in stats.items():
         size[r + 1] = s[0]
     offsets = np.cumsum(size)
     sums = np.sum([s[1:] for s in stats.values()], axis=0).tolist() if stats else [0, 0, 0, *[0] * (K + 1)]
     uni = Unigrams(sums[0], sums[1], sums[3:])
-    number = gathered.select(F.explode("held").alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("held")).cast("long")).alias("t")).first()
-    uni.starts, uni.all_starts = number["t"] or 0, number["n"]
+    uni.starts, uni.all_starts = whole["t"] or 0, whole["n"] or 0
     hot = max(2, int((hot_share if hot_share is not None else SLICES / n_slices) * sums[2]))
     answers = counted.where("blk is not null").groupBy("blk").agg(F.collect_list(F.struct("r", "numbers", "train", "every")).alias("counts"))
     joined = gathered.select("blk", "held", "sizes", "data").join(answers, "blk")

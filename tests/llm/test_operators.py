@@ -300,8 +300,11 @@ def test_length_table(spark, docs, awkward, empty):
 # 7
 
 
-def test_backoff_scores(spark, docs):
-    for share in (None, 0.002):
+def test_backoff_scores(spark, docs, monkeypatch):
+    for share, size in ((None, katz.PAIR_SLICE), (0.002, katz.PAIR_SLICE), (None, 500)):
+        # slices by counted bytes, more of them than the partitions ask for
+        monkeypatch.setattr(katz, "PAIR_SLICE", size)
+        monkeypatch.setattr(katz, "WORD_SLICE", 4 * size)
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
         got = katz.score(common.documents(spark, SF), held_out, hot_share=share).toPandas().set_index("doc_id")
         text = {i: words(t) + [None] for i, t in docs.text.items()}
