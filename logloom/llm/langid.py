@@ -33,6 +33,8 @@ EXHAUSTIVE = 6
 UNKNOWN = "und"
 #: Trigrams that are decoded together for the agreement.
 STRETCH = 256
+#: Bytes of folded text that are looked up at once; what is kept of a byte meanwhile is many times its size.
+CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters becomes a blank; bytes of other characters stay.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -97,8 +99,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             for lang, parts in texts.items():
                 data = np.frombuffer(b"".join(parts), np.uint8)
                 sums = seen.setdefault(lang, np.zeros(SLOTS, np.int64))
-                for at in range(0, max(len(data) - 2, 0), 1 << 22):
-                    sums += np.bincount(slots(data[at : at + (1 << 22) + 2]), minlength=SLOTS)
+                for at in range(0, max(len(data) - 2, 0), CHUNK):
+                    sums += np.bincount(slots(data[at : at + CHUNK + 2]), minlength=SLOTS)
         for lang, sums in seen.items():
             where = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(sums[where])], ["lang", "slot", "n"])
@@ -179,11 +181,11 @@ def classify(column: pa.Array, m: Model, evidence: int, ambiguous_below: float)
             continue
         lettered[row] = True
         data = folded(text)
-        for at in range(0, len(data), 1 << 22):
-            parts.append(data[at : at + (1 << 22)])
+        for at in range(0, len(data), CHUNK):
+            parts.append(data[at : at + CHUNK])
             rows.append(row)
             size += len(parts[-1])
-            if size >= 1 << 22:
+            if size >= CHUNK:
                 add(parts, rows)
                 parts, rows, size = [], [], 0
     if size > 2:
