@@ -7,7 +7,8 @@ bands of 7 rows a pair at 0.8 meets with probability 0.9999. Candidates only joi
 the shingle sets themselves decide, so every link is exact.
 
 Texts of the same words are one node. Texts without words are one node that nothing else links to.
-Shingle sets move once, and only those of texts in a group; groups of very many shingles are dealt out
+Texts are merged with the chosen ids at every size, as these grow with the corpus: a broadcast would only
+hide that join on small inputs. Shingle sets move once, and only those of texts in a group; groups of very many shingles are dealt out
 by pairs of blocks.
 """
 
@@ -156,7 +157,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: in
     grouped = connected_components(candidates(nodes, tau))
     chosen = materialize(nodes.join(grouped, "node").select("node", "component", F.col("at.id").alias("at_id"), F.col("at.row").alias("at_row")), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    texts = texts.join(chosen, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row")))
+    texts = texts.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row")))
     linked = connected_components(verified(texts, size, seed, similarity))
     return rows.select("id", "row", "node").join(linked, "node", "left").select("id", "row", F.coalesce("component", "node").alias("group"))
 

@@ -215,15 +215,16 @@ def masked(text: Column, spans: Column) -> Column:
 def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **settings) -> DataFrame:
     """The rows of ``docs`` with base matches and discovered instances masked at their places, all columns
     kept. Null texts stay null, rows that repeat id and text are masked alike; ``size_col`` is counted again.
-    Rows are found by id and text hash; where few rows hold anything, their spans are sent to the texts."""
-    held = materialize(_extracted(docs, id_col, text_col, **settings).where(F.size("spans") > 0).dropDuplicates(["id", "h"]), "spans")
+    Rows are found by id and text hash, by a merge at every size, as the spans grow with the corpus."""
+    spans = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
+    held = materialize(_extracted(docs, id_col, text_col, **settings).where(F.size("spans") > 0).dropDuplicates(["id", "h"]).select("id", "h", spans), "spans")
     inner = {c: f"__{c}_of_pii" for c in ("id", "h", "spans")}
     held = held.withColumnsRenamed(inner)
     text = F.col(f"`{text_col}`")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(inner["id"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(inner["h"]))
     found = F.col(inner["spans"])
     new = {text_col: F.when(found.isNull(), text).otherwise(masked(text, found))}
-    joined = docs.join(held, same, "left").withColumn("__text_of_pii", new[text_col])
+    joined = docs.join(held.hint("merge"), same, "left").withColumn("__text_of_pii", new[text_col])
     new = {text_col: F.col("__text_of_pii")}
     if size_col in docs.columns:
         new[size_col] = F.when(found.isNull(), F.col(f"`{size_col}`")).otherwise(F.char_length("__text_of_pii")).cast(dict(docs.dtypes)[size_col])
