@@ -345,11 +345,17 @@ def w1_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, table_file: str, sf_dir: str, schema: str, query: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """All rows that a stateful query gives out over a table read as a stream until it has no more."""
     base = f"{shared_dir(spark)}/logloom/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", table_file).parquet(sf_dir)
+    path = f"{sf_dir}/{table_file}"
+    spark.read.schema(schema).parquet(path)  # a stream takes a missing table for one that may still come
+    # as a pattern, the path may be a file or a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     out = query(stream)
+    put_any = False
 
     def put(df: DataFrame, number: int) -> None:
+        nonlocal put_any
         df.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        put_any = True
 
     # processing-time timeouts would go on asking for batches without data after the last row
     name = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -359,7 +365,7 @@ def _streamed(spark: SparkSession, table_file: str, sf_dir: str, schema: str, qu
         out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(out.schema).parquet(f"{base}/rows")
+    return spark.read.schema(out.schema).parquet(f"{base}/rows") if put_any else spark.createDataFrame([], out.schema)
 
 
 def w3_session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from logloom.__main__ import arguments
 from logloom.config import Limits
 from logloom.functions import parse
 from logloom.operators import grouping, limits, metrics
+from logloom.plans import catalogue
 
 
 def bodies(spark, text):
@@ -101,6 +102,26 @@ def test_sessions(spark, tmp_path):
     assert got == [("a", 6, "job <*> done"), ("b", 1, "x0"), ("b", 1, "x1"), ("b", 1, "x2")]
 
 
+def test_streamed_tables(spark, tmp_path):
+    """A streamed table may be one file, a folder of files or without rows; other files beside it are none of its own."""
+    turns = spark.createDataFrame([(i % 3, i, "user", f"t{i}") for i in range(10)], "conv_id long, turn long, role string, text string")
+    for name, rows in (("folder", turns), ("empty", turns.limit(0)), ("single", turns.coalesce(1))):
+        rows.write.parquet(str(tmp_path / name / "conversations.parquet"))
+    turns.write.parquet(str(tmp_path / "folder" / "conversations.parquet.old"))
+    folder = tmp_path / "single" / "conversations.parquet"
+    (part,) = folder.glob("*.parquet")
+    part.rename(tmp_path / "single" / "file")
+    for other in [*folder.iterdir()]:
+        other.unlink()
+    folder.rmdir()
+    (tmp_path / "single" / "file").rename(folder)
+    got = lambda name: sorted(map(tuple, catalogue.w3_session_totals(spark, str(tmp_path / name)).collect()))
+    assert len([*(tmp_path / "folder" / "conversations.parquet").glob("*.parquet")]) > 1 and folder.is_file()
+    assert got("folder") == got("single") == [("0", 4, 4), ("1", 3, 3), ("2", 3, 3)] and got("empty") == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        got("missing")
+
+
 def test_arguments(capsys, monkeypatch):
     assert arguments(["--grouper", "stock", "--samples", "2", "--format", "json"]).grouper == "drain-stock"
     for bad in (["--grouper", "Drain"], ["--samples", "-1"], ["--format", "xml"], ["--nope"]):
