@@ -158,7 +158,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: in
     chosen = materialize(nodes.join(grouped, "node").select("node", "component", F.col("at.id").alias("at_id"), F.col("at.row").alias("at_row")), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
     texts = texts.join(chosen.hint("merge"), F.col("id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row")))
-    linked = connected_components(verified(texts, size, seed, similarity))
+    # a table of its own: with the first step of the components in the same task, each task would hold two workers,
+    # and all of an executor's workers stay for the stages after this one
+    linked = connected_components(materialize(verified(texts, size, seed, similarity), "links"))
     return rows.select("id", "row", "node").join(linked, "node", "left").select("id", "row", F.coalesce("component", "node").alias("group"))
 
 
