@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,12 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
 _sweep: ContextVar[list[DataFrame] | None] = ContextVar("sweep", default=None)
 
 
+#: Makes Spark delete an execution's shuffle files at its end, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+#: By session: writes that are under way, and the setting before the first of them.
+_writing: dict[str, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Only for writes: their plans run once, where those of a caller's DataFrame may run again and would
+    then make deleted files anew."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(session) or (0, spark.conf.get(CLEANUP, None))
+        _writing[session] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(session)
+            if n > 1:
+                _writing[session] = n - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back: lineage is cut,
-    a lost executor costs a reread, and the plan above sees real sizes."""
+    a lost executor costs a reread, the plan above sees real sizes, and what was shuffled for it goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     written = _sweep.get()

@@ -1,8 +1,11 @@
 """Scratch tables and their sweeping."""
 
+import time
 from pathlib import Path
 
-from logloom.scratch import discard, materialize, swept
+from pyspark.sql import functions as F
+
+from logloom.scratch import CLEANUP, _shuffles_deleted, discard, materialize, swept
 
 
 def held(table):
@@ -34,3 +37,39 @@ def test_swept_after_failure(spark):
             raise ValueError
     except ValueError:
         assert not held(written[0])
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p for d in found for p in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_shuffles_deleted(spark):
+    """What was shuffled for a table goes once it is written, without the driver's garbage collection."""
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    seen = []
+    for _ in range(2):
+        table = materialize(df, "a")
+        for _ in range(50):
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        seen.append(len(left))
+        assert table.count() == 10
+        before |= shuffle_files(spark)  # of the count
+        discard(table)
+    assert seen == [0, 0] and spark.conf.get(CLEANUP, None) == setting
+    # a caller's own runs of the same plan keep what they shuffled
+    assert len(df.collect()) == 10 and shuffle_files(spark) - before and len(df.collect()) == 10
+
+
+def test_setting_restored(spark):
+    """Also after a failed write and beside another one that is under way."""
+    setting = spark.conf.get(CLEANUP, None)
+    with _shuffles_deleted(spark):
+        try:
+            materialize(spark.range(3).select(F.raise_error(F.lit("x")).cast("long")), "a")
+        except Exception:
+            assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP, None) == setting
